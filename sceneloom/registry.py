@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import make_importable
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
@@ -62,4 +64,5 @@ def all_oracles() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,10 @@ def get_session(app: str = "sceneloom", cpus: int | None = None, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver did, whatever their working folder. On a cluster, install the package or pass it by --py-files."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
