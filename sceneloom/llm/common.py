@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import make_importable
+
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -20,6 +22,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

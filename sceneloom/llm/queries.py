@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from public_tokenizers import PATTERN
+from public_tokenizers import path as tokenizer_path
+
+from .byte_bpe import encode_digests
 from .common import documents
+from .exact_dedup import dedup_exact
 from .fingerprints import compare_with_edits
+from .language_id import predict_languages
 from .line_dedup import dedup_lines
+from .mixing import plan_mix
 from .sharding import shard_by_bytes
+from .token_files import read_token_files, write_token_files
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +65,39 @@ SELECT doc_id, n_chunks, removed_chunks, removed_lines, CAST(length(t) AS BIGINT
 """
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of those whose texts are equal without white space."""
+    return dedup_exact(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the folds that aren't held out."""
+    return predict_languages(documents(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Documents as read back from the wavelet matrix files that hold their ids."""
+    files = write_token_files(documents(spark, sf_dir), vocabulary or tokenizer_path("word_bpe_49k.json"))
+    return read_token_files(files)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
+    return encode_digests(documents(spark, sf_dir), vocabulary or tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; equal texts never part."""
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
@@ -69,8 +110,13 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_token_files": op6_token_files,
+    "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL}
