@@ -14,6 +14,7 @@ from .byte_bpe import encode_digests
 from .common import documents
 from .exact_dedup import dedup_exact
 from .fingerprints import compare_with_edits
+from .jaccard_join import similar_components
 from .language_id import predict_languages
 from .line_dedup import dedup_lines
 from .mixing import plan_mix
@@ -77,6 +78,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose sets of 4-word shingles overlap by 85 %."""
+    return similar_components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the folds that aren't held out."""
     return predict_languages(documents(spark, sf_dir))
@@ -111,6 +117,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
