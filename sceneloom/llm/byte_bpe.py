@@ -169,23 +169,33 @@ def codec(path: str, pattern: str) -> MergeReplay:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (an array) for every row; null texts count as empty and have no ids. Every executor must have the vocabulary file at that path."""
+    """doc_id, n_tokens, ids (an array) and decoded_sha256 for every row; null texts count as empty and have no ids.
+
+    Repeated rows are encoded each; an empty table gives an empty result; other columns are ignored. Every executor
+    must have the vocabulary file at that path.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
-            ids = pa.array(c.encode_all(batch.column("text").to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        for batch in _slices(batches):
+            n, values, out_sha = [], [], []
+            for ids in c.encode_all(batch.column("text").to_pylist()):
+                n.append(len(ids))
+                values.append(np.array(ids, np.int32))
+                out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            offsets = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+            arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), arrays, pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; repeated rows are encoded each; an empty table gives an empty result."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row, as encode_documents, without handing the ids on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             n, ids_sha, out_sha = [], [], []
             for ids in c.encode_all(batch.column("text").to_pylist()):
                 n.append(len(ids))
@@ -193,4 +203,14 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
