@@ -19,6 +19,7 @@ from .language_id import predict_languages
 from .line_dedup import dedup_lines
 from .mixing import plan_mix
 from .sharding import shard_by_bytes
+from .substring_dedup import repeated_passages
 from .token_files import read_token_files, write_token_files
 
 
@@ -83,6 +84,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in two documents, exactly or nearly."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the folds that aren't held out."""
     return predict_languages(documents(spark, sf_dir))
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
