@@ -15,6 +15,8 @@ Builder = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when imported.
 MODULES = (
     "sceneloom.operators.counting",
+    "sceneloom.operators.selection",
+    "sceneloom.operators.numeric",
 )
 
 
