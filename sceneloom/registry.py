@@ -17,6 +17,9 @@ MODULES = (
     "sceneloom.operators.counting",
     "sceneloom.operators.selection",
     "sceneloom.operators.numeric",
+    "sceneloom.operators.sequence",
+    "sceneloom.operators.relations",
+    "sceneloom.operators.geometry",
 )
 
 
