@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 MAX_N = 4
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 #: Bounds of the sample that the classifier is fitted on, and of the landmarks among it.
-TRAIN_ROWS = 3000
-LANDMARKS = 400
+TRAIN_ROWS = 2000
+LANDMARKS = 300
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Languages beyond this number (rarest first) aren't learned.
@@ -42,7 +42,7 @@ def presence(texts: list[str]) -> np.ndarray:
             for n in range(1, min(MAX_N, len(points)) + 1):
                 grams = grams[: len(points) - n + 1] * np.uint32(31) + points[n - 1 :] * np.uint32(_MIX[n - 1])
                 mixed = (grams ^ grams >> np.uint32(15)) * np.uint32(0x2C1B3C6D) + np.uint32(n)
-                found[row, mixed >> np.uint32(17)] = True
+                found[row, mixed >> np.uint32(18)] = True
     return found
 
 
@@ -84,8 +84,8 @@ def fit(found: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
         turn.append((seen.get(label, 0), label, i))
         seen[label] = seen.get(label, 0) + 1
     marks = [i for _, _, i in sorted(turn)[:landmarks]]
-    unit = found / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1))
-    unit = unit.astype(np.float32)
+    unit = found.astype(np.float32)
+    unit /= np.sqrt(np.maximum(found.sum(1, keepdims=True), 1)).astype(np.float32)
     at = unit[marks]
     inner = (at @ at.T).astype(np.float64)
     z = np.c_[unit @ at.T, np.ones(len(unit), np.float32)].astype(np.float64)
