@@ -3,10 +3,16 @@
 Equal sets are one class from the start. The tokens of a set are put in one order for all sets, rare first; rarity
 is that of hash cells counted over the whole corpus, so that the order needs a table of fixed size. Two sets that
 are similar enough share a token among their first n - ceil(t * n) + 1, so only these prefixes are joined. A bucket is the
-sets that share a prefix token. Instead of pairing a bucket's sets with each other, each is held against the bucket's
-pivot; sets that end up in one component need no comparison any more. After a few such turns the pairs that are left,
-of sets in one bucket and different components, are held against each other, so no link between components is lost.
-Pairs pass the length, positional and suffix filters and are verified once, on the whole sets.
+sets that share a prefix token. Pairs of small buckets pass the length, positional and suffix filters and are
+verified once, on the whole sets.
+
+The sets of a large bucket aren't paired with each other. They are held against the bucket's hub, its most
+connected set, and of each only the difference D from the hub is kept. With c = (1 - t) / (1 + t), two sets x, y link where
+|D_x| + |D_y| - 2 |D_x & D_y| <= c (|x| + |y|). So with f(x) = |D_x| - c |x|, those with f(x) + f(y) <= 0 link whatever
+their differences are, and then both link with the set of the smallest f, which makes a star of them; all others must
+share (f(x) + f(y)) / 2 tokens of their differences and are found by a prefix join of the differences, verified
+like the rest. Sets far from the hub go on to further turns with other hubs: by the triangle inequality they can't link with
+those close to it. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ CELL_BITS = 20
 BLOCK_BITS = 14
 #: Hash ranges over which the suffix filter bounds the overlap.
 RANGES = 32
-#: Turns of comparing buckets with a pivot.
+#: Sets of a bucket up to which all its pairs are candidates.
+SMALL = 8
+#: Turns with hubs; what a bucket still has after these is paired like a small bucket.
 TURNS = 3
+#: Largest distance from a hub (1 - Jaccard) at which a set's difference from it is kept, in percent.
+KIN = 50
 _FAN_IN = 256
 
 
@@ -215,50 +225,102 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     chosen = staged(chosen, "jaccard-sets")
     named = texts.join(chosen.select(F.col("doc_id").alias("_id"), "sid"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text")
     bodies = staged(named.mapInArrow(_own_text(k), "sid bigint, text string"), "jaccard-bodies")
-    links, labels = None, None
+    links, state = [], live
     for turn in range(turns + 1):
-        if labels is None:
-            state = live.select("*", F.col("sid").alias("comp"), F.lit(None).cast("bigint").alias("c0"), F.col("sid").alias("c1"))
-        else:
-            state = live.join(labels, live["sid"] == labels["node"], "left").select(*live.columns, F.coalesce("root", "sid").alias("comp"))
-            # Buckets within one component are done.
-            open_ = state.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-            state = staged(state.join(open_, "token"), "jaccard-open")
-            if not state.take(1):
-                break
-        if turn < turns:
-            pairs, live = _pivot_pairs(state, live.columns)
-        else:
-            pairs = _rest_pairs(state)
-        found = _filtered(pairs, chosen, percent)
-        run, schema = _verify(k, percent)
-        left = bodies.select(F.col("sid").alias("x"), F.col("text").alias("text_x"))
-        right = bodies.select(F.col("sid").alias("y"), F.col("text").alias("text_y"))
-        both = found.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
-        new = staged(both.mapInArrow(run, schema), "jaccard-links")
-        links = new if links is None else links.unionByName(new)
-        labels = staged(connected_components(links), "jaccard-labels")
+        sizes = state.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+        sized = state.join(sizes.where("m > 1"), "token")
+        few = sized.where(F.col("m") <= SMALL) if turn < turns else sized
+        links.append(_linked(_filtered(_bucket_pairs(few), chosen, percent), bodies, k, percent))
+        if turn == turns:
+            break
+        many = staged(sized.where(F.col("m") > SMALL), "jaccard-many")
+        if not many.take(1):
+            break
+        found, state = _around_hubs(many, bodies, k, percent, shared)
+        links += found
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    labels = connected_components(every)
     placed = base.join(labels, base["sid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _pivot_pairs(state: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of every set of a bucket with the bucket's pivot, and the bucket's rows without the pivot's own.
+def _bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the sets of each bucket whose sizes and places leave room for enough overlap."""
+    a = rows.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    b = rows.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    return a.join(b, "token").where("x < y")
 
-    The pivot comes from the component with the largest name: large components tend to have small names, so the sets
-    that still stand alone come first.
-    """
-    pivot = state.where("comp = c1").groupBy("token").agg(F.min("sid").alias("y"))
-    whole = state.join(pivot, "token")
-    own = whole.where("sid = y").select("token", F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    others = whole.where("sid <> y")
-    pairs = others.join(own, "token").where("comp <> cy").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "y", "ny", "py")
-    return pairs, others.select(columns)
-
-
-def _rest_pairs(state: DataFrame) -> DataFrame:
-    """Every pair of a bucket that lies in two components; at least one of the two isn't in the bucket's first component."""
-    a = state.where("comp <> c0").select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    b = state.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), "c0")
-    return a.join(b, "token").where("cx <> cy AND (cy = c0 OR cx < cy)").select("x", "nx", "px", "y", "ny", "py")
+
+def _linked(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of the pairs (x, y) that link, verified on their texts."""
+    run, schema = _verify(k, percent)
+    return staged(_with_texts(pairs, bodies).mapInArrow(run, schema), "jaccard-links")
+
+
+def _with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    left = bodies.select(F.col("sid").alias("x"), F.col("text").alias("text_x"))
+    right = bodies.select(F.col("sid").alias("y"), F.col("text").alias("text_y"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
+
+
+def _differences(k: int, percent: int, shared):
+    """Rows (hub, x, nx, nd, kin, inner, tokens): how far a set is from its hub, and the tokens that only one of them has, rare first."""
+    names = ["hub", "x", "nx", "nh", "nd", "kin", "inner", "tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+    inner = KIN - (100 - percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, last, kept = shared.value, None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows = []
+                for x, y, left, right in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("text_x"), batch.column("text_y"), strict=True):
+                    if y != last:
+                        last, kept = y, shingle_set(right.as_buffer().to_pybytes(), k)
+                    own = shingle_set(left.as_buffer().to_pybytes(), k)
+                    apart = np.setxor1d(own, kept, assume_unique=True)
+                    union = (len(own) + len(kept) + len(apart)) // 2
+                    kin = 100 * len(apart) <= KIN * union
+                    tokens = None
+                    if kin:
+                        rank = ranks[(apart & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)]
+                        tokens = apart[np.lexsort((apart, rank))].view(np.int64)
+                    rows.append((y, x, len(own), len(kept), len(apart), kin, 100 * len(apart) <= inner * union, tokens))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run, "hub bigint, x bigint, nx bigint, nh bigint, nd bigint, kin boolean, inner boolean, tokens array<bigint>"
+
+
+def _around_hubs(many: DataFrame, bodies: DataFrame, k: int, percent: int, shared) -> tuple[list[DataFrame], DataFrame]:
+    """Links found around the hubs of large buckets, and the rows that go on: without hubs and without the sets close to them."""
+    fame = many.groupBy("sid").agg(F.sum("m").alias("fame"))
+    hubs = many.join(fame, "sid").groupBy("token").agg(F.max(F.struct("fame", "sid")).alias("top")).select("token", F.col("top.sid").alias("hub"))
+    dealt = many.join(hubs, "token").where("sid <> hub")
+    star = dealt.select(F.col("sid").alias("x"), F.col("hub").alias("y")).distinct()
+    run, schema = _differences(k, percent, shared)
+    around = staged(_with_texts(star, bodies).mapInArrow(run, schema), "jaccard-hubs")
+    # f in whole numbers: (100 + percent) * |D| - (100 - percent) * |x|; the hub itself has no difference.
+    f = F.lit(100 + percent) * F.col("nd") - F.lit(100 - percent) * F.col("nx")
+    own = around.select("hub", F.col("hub").alias("x"), F.col("nh").alias("nx"), F.lit(0).cast("long").alias("nd")).distinct()
+    kin = around.where("kin").select("hub", "x", "nx", "nd", "tokens").unionByName(own, allowMissingColumns=True).withColumn("f", f)
+    best = kin.groupBy("hub").agg(F.min(F.struct("f", "x")).alias("best")).select("hub", F.col("best.f").alias("f0"), F.col("best.x").alias("x0"))
+    judged = kin.join(best, "hub").withColumn("rest", F.col("f") + F.col("f0") > 0)
+    free = staged(judged.where("NOT rest AND x <> x0").select(F.col("x").alias("a"), F.col("x0").alias("b")), "jaccard-links")
+    # Pairs within the star are in one component; every other pair has a set outside it.
+    least = judged.where("rest").groupBy("hub").agg(F.min("f").alias("f1"))
+    least_shared = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("rest"), F.col("f0")).otherwise(F.col("f1"))) / F.lit(2 * (100 + percent)))).cast("int")
+    length = (F.col("nd") - least_shared + 1).cast("int")
+    rows = judged.join(least, "hub").withColumn("len", length).where("len > 0 AND tokens IS NOT NULL")
+    rows = rows.select("hub", "x", "f", "nd", "rest", F.posexplode(F.slice("tokens", F.lit(1), F.col("len"))).alias("pos", "token"))
+    a = rows.where("rest").select("hub", "token", "x", F.col("f").alias("fx"), (F.col("nd") - F.col("pos")).alias("room_x"))
+    b = rows.select("hub", "token", F.col("x").alias("y"), F.col("f").alias("fy"), (F.col("nd") - F.col("pos")).alias("room_y"), F.col("rest").alias("rest_y"))
+    enough = F.least("room_x", "room_y") * F.lit(2 * (100 + percent)) >= F.col("fx") + F.col("fy")
+    pairs = a.join(b, ["hub", "token"]).where((F.col("x") != F.col("y")) & (~F.col("rest_y") | (F.col("x") < F.col("y"))) & enough).select("x", "y").distinct()
+    close = around.where("inner").select("hub", F.col("x").alias("sid"))
+    far = staged(dealt.join(close, ["hub", "sid"], "left_anti").select("token", "sid", "n", "pos"), "jaccard-far")
+    return [free, _linked(pairs, bodies, k, percent)], far
