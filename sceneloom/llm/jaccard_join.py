@@ -10,8 +10,8 @@ The sets of a large bucket aren't paired with each other. They are held against
 connected set, and of each only the difference D from the hub is kept. With c = (1 - t) / (1 + t), two sets x, y link where
 |D_x| + |D_y| - 2 |D_x & D_y| <= c (|x| + |y|). So with f(x) = |D_x| - c |x|, those with f(x) + f(y) <= 0 link whatever
 their differences are, and then both link with the set of the smallest f, which makes a star of them; all others must
-share (f(x) + f(y)) / 2 tokens of their differences and are found by a prefix join of the differences, verified
-like the rest. Sets far from the hub go on to further turns with other hubs: by the triangle inequality they can't link with
+share (f(x) + f(y)) / 2 tokens of their differences, and are found by a prefix join of the differences and verified
+on them. Sets far from the hub go on to further turns with other hubs: by the triangle inequality they can't link with
 those close to it. No link between components is lost.
 """
 
@@ -320,7 +320,13 @@ def _around_hubs(many: DataFrame, bodies: DataFrame, k: int, percent: int, share
     a = rows.where("rest").select("hub", "token", "x", F.col("f").alias("fx"), (F.col("nd") - F.col("pos")).alias("room_x"))
     b = rows.select("hub", "token", F.col("x").alias("y"), F.col("f").alias("fy"), (F.col("nd") - F.col("pos")).alias("room_y"), F.col("rest").alias("rest_y"))
     enough = F.least("room_x", "room_y") * F.lit(2 * (100 + percent)) >= F.col("fx") + F.col("fy")
-    pairs = a.join(b, ["hub", "token"]).where((F.col("x") != F.col("y")) & (~F.col("rest_y") | (F.col("x") < F.col("y"))) & enough).select("x", "y").distinct()
+    pairs = a.join(b, ["hub", "token"]).where((F.col("x") != F.col("y")) & (~F.col("rest_y") | (F.col("x") < F.col("y"))) & enough).select("hub", "x", "y", (F.col("fx") + F.col("fy")).alias("f2")).distinct()
+    # Whole differences say exactly whether the whole sets link.
+    left = kin.select("hub", "x", F.col("tokens").alias("dx"))
+    right = kin.select("hub", F.col("x").alias("y"), F.col("tokens").alias("dy"))
+    shared_tokens = F.size(F.array_intersect("dx", "dy"))
+    linked = pairs.join(left, ["hub", "x"]).join(right, ["hub", "y"]).where(shared_tokens * F.lit(2 * (100 + percent)) >= F.col("f2"))
+    linked = staged(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
     close = around.where("inner").select("hub", F.col("x").alias("sid"))
     far = staged(dealt.join(close, ["hub", "sid"], "left_anti").select("token", "sid", "n", "pos"), "jaccard-far")
-    return [free, _linked(pairs, bodies, k, percent)], far
+    return [free, linked], far

@@ -8,6 +8,7 @@ Files are blobs of a Parquet table in the shared folder, so any store that Spark
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .common import staged, text_or_empty
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
 END_ID = 1
-_WORDS_REMEMBERED = 400_000
+_WORDS_REMEMBERED = 150_000
 _BLOCK = 512
 
 
@@ -129,6 +130,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and works within the runs between it, so each run needs encoding once."""
 
     def __init__(self, path: str):
+        # One thread: Spark runs a task per core already, and threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -147,11 +150,17 @@ class WordEncoder:
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.known))
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
+            counts, ids = [], []
+            # The library's results are large objects; few are held at a time.
+            for at in range(0, len(new), 2048):
+                for e in self.tokenizer.encode_batch_fast(new[at : at + 2048], add_special_tokens=False):
+                    one = e.ids
+                    counts.append(len(one))
+                    ids += one
+            counts = np.array(counts, np.int64)
             self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
             self.count = np.r_[self.count, counts]
-            self.ids = np.r_[self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(counts.sum()))]
+            self.ids = np.r_[self.ids, np.array(ids, np.uint32)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         sizes, parts = np.zeros(len(texts), np.int64), []
         for k, words in enumerate(split):
@@ -201,8 +210,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sh
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "first_row", "n_tokens", "doc_ids", "nulls", "sizes", "blob"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 part = batch.column("part")[0].as_py()
                 got, lengths = encoder.encode(batch.column("text").to_pylist(), end_id)
                 ids.append(got)
