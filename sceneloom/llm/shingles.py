@@ -40,7 +40,7 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     if lower:
         text = text.translate(_LOWER)
     if len(text) <= _SEGMENT:
-        return _hashes(text)
+        return word_spans(text)[2]
     parts, at = [], 0
     flat = np.frombuffer(text, np.uint8)
     while at < len(text):
@@ -48,12 +48,13 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
         # A segment ends at white space, so no word is cut.
         while end < len(text) and _IS_WORD[flat[end]]:
             end += 1
-        parts.append(_hashes(text[at:end]))
+        parts.append(word_spans(text[at:end])[2])
         at = end
     return np.concatenate(parts)
 
 
-def _hashes(text: bytes) -> np.ndarray:
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of a text that is small enough to be taken at once."""
     flat = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(flat) + 2, np.int8)
     inside[1:-1] = _IS_WORD[flat]
@@ -62,7 +63,7 @@ def _hashes(text: bytes) -> np.ndarray:
     power, inverse = _tables(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -8,23 +8,28 @@ Files are blobs of a Parquet table in the shared folder, so any store that Spark
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
+from .shingles import word_spans
 
 MAGIC = b"WVM1"
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 END_ID = 1
-_WORDS_REMEMBERED = 150_000
+#: Runs that a worker remembers; beyond it the memory starts anew. It changes speed only.
+_WORDS_REMEMBERED = 300_000
 _BLOCK = 512
 
 
@@ -126,8 +131,32 @@ class WaveletMatrix:
         return cls(n, bits, [np.frombuffer(raw, np.uint8, width, p * width) for p in range(bits)])
 
 
+#: What the quick way below stands for: this normaliser and this splitting, on words of these characters.
+_QUICK_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_QUICK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_QUICK_WORD = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017e]*")
+
+
+def byte_symbols() -> list[str]:
+    """The visible character that byte-level vocabularies write for each byte: printable Latin-1 stands for itself, the others follow from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [""] * 256, 256
+    for b in range(256):
+        if b in shown:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space and works within the runs between it, so each run needs encoding once."""
+    """Ids of texts by a tokenizer that drops white space and works within the runs between it, so that each run needs encoding once.
+
+    Runs are told apart by 64-bit hashes, and those met before are remembered. A run of Latin characters is normalised
+    and split here where the tokenizer's settings are known, and its pieces go to the library's BPE model; any other run goes
+    through the whole library.
+    """
 
     def __init__(self, path: str):
         # One thread: Spark runs a task per core already, and threads would each keep memory of their own.
@@ -137,41 +166,68 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, int] = {}
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        split = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        wanted = [{"type": "Split", "pattern": {"Regex": _QUICK_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.quick = settings.get("normalizer") == _QUICK_NORMALIZER and split == wanted
+        self.pattern = regex.compile(_QUICK_PATTERN)
+        self.symbols = dict(enumerate(byte_symbols()))
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids, self.first, self.count = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.known: dict[int, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.first, self.count = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def word(self, text: str) -> list[int]:
+        """Ids of one run without white space."""
+        if not (self.quick and _QUICK_WORD.fullmatch(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in self.pattern.findall(text.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            out += ids
+        return out
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        counts, ids = [], []
+        for word in words:
+            one = self.word(word)
+            counts.append(len(one))
+            ids += one
+        counts = np.array(counts, np.int64)
+        self.known.update(zip(hashes, range(len(self.count), len(self.count) + len(words)), strict=True))
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
+        self.count = np.r_[self.count, counts]
+        self.ids = np.r_[self.ids, np.array(ids, np.uint32)]
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with end_id behind; number of ids of each text)."""
-        if not self.known or len(self.known) > _WORDS_REMEMBERED:
+        if len(self.known) > _WORDS_REMEMBERED:
             self._forget()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        # Entry 0 is the end of a document.
+        self.ids[0] = end_id
+        data = b"\n".join(texts)
+        starts, ends, hashes = word_spans(data)
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        names = kinds.tolist()
+        new = [i for i, h in enumerate(names) if h not in self.known]
         if new:
-            counts, ids = [], []
-            # The library's results are large objects; few are held at a time.
-            for at in range(0, len(new), 2048):
-                for e in self.tokenizer.encode_batch_fast(new[at : at + 2048], add_special_tokens=False):
-                    one = e.ids
-                    counts.append(len(one))
-                    ids += one
-            counts = np.array(counts, np.int64)
-            self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
-            self.count = np.r_[self.count, counts]
-            self.ids = np.r_[self.ids, np.array(ids, np.uint32)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        sizes, parts = np.zeros(len(texts), np.int64), []
-        for k, words in enumerate(split):
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            count = self.count[at]
-            total = int(count.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[at], count)
-            parts.append(self.ids[place])
-            parts.append(np.array([end_id], np.uint32))
-            sizes[k] = total + 1
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), sizes
+            a, b = starts[first].tolist(), ends[first].tolist()
+            self._learn([names[i] for i in new], [data[a[i] : b[i]].decode() for i in new])
+        entry = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[which]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        words_before = np.searchsorted(starts, np.cumsum(lengths + 1) - 1)
+        entry = np.insert(entry, words_before, 0)
+        count = self.count[entry]
+        upto = np.cumsum(count)
+        place = np.arange(int(upto[-1])) - np.repeat(upto - count - self.first[entry], count)
+        ends_at = upto[words_before + np.arange(len(texts))]
+        return self.ids[place], np.diff(np.r_[0, ends_at])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -213,7 +269,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sh
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 part = batch.column("part")[0].as_py()
-                got, lengths = encoder.encode(batch.column("text").to_pylist(), end_id)
+                got, lengths = encoder.encode([t.as_buffer().to_pybytes() for t in batch.column("text")], end_id)
                 ids.append(got)
                 sizes.append(lengths)
                 names.append(batch.column("doc_id"))
@@ -238,7 +294,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 tokens = WaveletMatrix.from_bytes(row["blob"]).all().astype("<u4")
                 sizes = np.frombuffer(row["sizes"], "<i8")
                 ends = np.cumsum(sizes)
