@@ -21,6 +21,7 @@ MODULES = (
     "sceneloom.operators.relations",
     "sceneloom.operators.geometry",
     "sceneloom.operators.graphs",
+    "sceneloom.operators.simulation",
 )
 
 
