@@ -22,6 +22,7 @@ MODULES = (
     "sceneloom.operators.geometry",
     "sceneloom.operators.graphs",
     "sceneloom.operators.simulation",
+    "sceneloom.operators.scoring",
 )
 
 
