@@ -23,6 +23,7 @@ MODULES = (
     "sceneloom.operators.graphs",
     "sceneloom.operators.simulation",
     "sceneloom.operators.scoring",
+    "sceneloom.operators.pipeline",
 )
 
 
