@@ -113,7 +113,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
     share = max(1, rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)).alias("u")
     limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int((1 << 30) * min(1.0, (share + 3 * share**0.5) / r["n"]))))])
-    sample = known.withColumn("u", draw).where(F.col("u") < F.element_at(limits, F.col("lang"))).select("doc_id", "text", "lang", "u")
+    sample = known.withColumn("u", draw).where(F.col("u") < F.try_element_at(limits, F.col("lang"))).select("doc_id", "text", "lang", "u")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,7 +131,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
         if any(r["bits"]) and taken.get(r["lang"], 0) < share:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             chosen.append(r)
-    found = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in chosen), np.uint8).reshape(len(chosen), -1), axis=1).astype(bool)
+    found = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in chosen), np.uint8).reshape(len(chosen), BUCKETS // 8), axis=1).astype(bool)
     return fit(found, [r["lang"] for r in chosen], landmarks)
 
 
