@@ -24,6 +24,7 @@ MODULES = (
     "sceneloom.operators.simulation",
     "sceneloom.operators.scoring",
     "sceneloom.operators.pipeline",
+    "sceneloom.operators.streams",
 )
 
 
