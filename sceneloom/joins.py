@@ -44,6 +44,19 @@ def present_in_every(df: DataFrame, item: str, group: str) -> DataFrame:
     return held.join(F.broadcast(total), F.col("_n") == F.col("_all")).select(item)
 
 
+def overlapping_pairs(intervals: DataFrame, lo: str, hi: str, on: list[str]) -> DataFrame:
+    """on, pairs: how many pairs of closed intervals overlap within each key, without forming any.
+
+    For each interval the starts up to its end are counted by one running sum over starts and ends in order. Over all
+    intervals that is every interval itself, each disjoint pair once and each overlapping pair twice.
+    """
+    ends = intervals.where(F.col(lo) <= F.col(hi)).select(*on, F.explode(F.array(F.struct(F.col(lo).alias("at"), F.lit(0).alias("end")), F.struct(F.col(hi).alias("at"), F.lit(1).alias("end")))).alias("e"))
+    w = Window.partitionBy(*on).orderBy("e.at", "e.end").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ends.withColumn("starts", F.sum(F.lit(1) - F.col("e.end")).over(w)).where("e.end = 1")
+    n = F.count("*")
+    return seen.groupBy(*on).agg((F.sum("starts") - n - F.floor(n * (n - 1) / 2)).alias("pairs")).where("pairs > 0")
+
+
 def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     """Closed intervals share a point."""
     return F.greatest(lo_a, lo_b) <= F.least(hi_a, hi_b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..joins import asof_join, present_in_every, range_join
+from ..joins import asof_join, overlapping_pairs, present_in_every, range_join
 from ..registry import query, table
 
 _SESSIONS = "s AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS day, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY ALL)"
@@ -18,11 +18,8 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interval_overlap_count", "P24", ("counting", "spatial_relations"), f"WITH {_SESSIONS} SELECT a.day, count(*) AS pairs FROM s a JOIN s b ON a.day = b.day AND a.user_id < b.user_id AND greatest(a.lo, b.lo) <= least(a.hi, b.hi) GROUP BY a.day")
 def interval_overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of closed intervals that overlap within a key, by the bucketed range join."""
-    s = _sessions(spark, sf_dir)
-    a = s.select("day", F.col("user_id").alias("ua"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    b = s.select("day", F.col("user_id").alias("ub"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    return range_join(a, b, ("alo", "ahi"), ("blo", "bhi"), 64, ["day"]).where("ua < ub").groupBy("day").agg(F.count("*").alias("pairs"))
+    """Pairs of closed intervals that overlap within a key, counted by running sums."""
+    return overlapping_pairs(_sessions(spark, sf_dir), "lo", "hi", ["day"])
 
 
 @query(
@@ -53,6 +50,19 @@ def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(errors, buys, ["user_id"], "ts", "bought", ["id", "val"]).select("event_id", F.col("asof_id").alias("purchase_id"), F.col("asof_val").alias("purchase_value")).where("purchase_id IS NOT NULL")
 
 
+@query(
+    "interval_hits",
+    "P24",
+    ("spatial_relations", "matching"),
+    f"WITH {_SESSIONS}, p AS (SELECT event_id AS a, event_id + 3 AS b FROM events WHERE event_type = 'error' AND event_id % 50 = 0) SELECT a AS event_id, count(*) AS n FROM p JOIN s ON greatest(a, lo) <= least(b, hi) AND user_id < 30 GROUP BY a",
+)
+def interval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that overlap a short interval around each selected event, by the bucketed range join."""
+    s = _sessions(spark, sf_dir).where("user_id < 30").select("user_id", "lo", "hi")
+    p = table(spark, sf_dir, "events").where("event_type = 'error' AND event_id % 50 = 0").select(F.col("event_id").alias("a"), (F.col("event_id") + 3).alias("b"))
+    return range_join(p, s, ("a", "b"), ("lo", "hi"), 256).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
+
+
 @query("set_intersect", "set", ("matching",), "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
