@@ -48,16 +48,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sceneloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the files behind a table made by staged(), once nothing lazy still reads them."""
-    paths = {p.rsplit("/", 1)[0].split("://", 1)[-1].lstrip(":").replace("file:", "") for p in df.inputFiles()}
-    for spark, path in list(_staged):
-        if path.split("://", 1)[-1] in paths:
-            _delete(spark, path)
-            _staged.remove((spark, path))
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by staged() that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._staged_at
+        _delete(spark, path)
+        _staged.remove((spark, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     before = _mark(now)
     while before[0]:
-        now = staged(_small_star(_large_star(now)), "cc-edges")
+        last, now = now, staged(_small_star(_large_star(now)), "cc-edges")
+        drop_staged(last)
         after = _mark(now)
         if after == before:
             break

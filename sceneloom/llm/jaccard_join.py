@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import drop_staged, staged, text_or_empty
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -220,6 +220,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     prefixes = staged(texts.select("text").mapInArrow(run, schema), "jaccard-prefixes")
     buckets = prefixes.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
     live = staged(prefixes.join(buckets, "token").distinct(), "jaccard-live")
+    drop_staged(prefixes)
     active = live.select("sid").distinct()
     chosen = profiles.where("block IS NULL").join(active, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("ranges").alias("ranges"))
     chosen = staged(chosen, "jaccard-sets")
@@ -242,6 +243,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     for more in links[1:]:
         every = every.unionByName(more)
     labels = connected_components(every)
+    drop_staged(live, chosen, bodies, *links)
     placed = base.join(labels, base["sid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
