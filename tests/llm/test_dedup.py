@@ -152,7 +152,8 @@ def test_sliding_minima_and_windows():
     assert ((right - left + 1 >= 20) & (left <= node) & (node <= right)).all()
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("turns", [0, 2])
+def test_repeated_passages(spark, turns):
     rng = random.Random(9)
     passage, near = words(rng, MIN_WORDS + 5), words(rng, 200)
     fresh = lambda n: words(rng, n)
@@ -168,7 +169,7 @@ def test_repeated_passages(spark):
         " ".join(fresh(60) + passage[: MIN_WORDS - 10] + fresh(60)),
         *EDGE,
     ]
-    rows = repeated_passages(table(spark, texts)).collect()
+    rows = repeated_passages(table(spark, texts), turns=turns).collect()
     linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
     assert set().union(*linked) == {0, 1, 2, 4, 5}
     one = next(r for r in rows if {r["doc_id"], r["other_id"]} == {0, 1})
