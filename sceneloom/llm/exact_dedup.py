@@ -24,7 +24,7 @@ CHUNK = 1 << 14
 BASE = 1_000_003
 PRIMES = (2_147_483_647, 2_147_483_629)
 _DELETE = SPACES.encode()
-_SCHEMA = "doc_id bigint, uid bigint, n_chars bigint, n_bytes bigint, fp1 bigint, fp2 bigint, text_sha256 string"
+_SCHEMA = "doc_id bigint, n_chars bigint, n_bytes bigint, fp1 bigint, fp2 bigint, text_sha256 string"
 
 
 def _powers() -> list[np.ndarray]:
@@ -80,8 +80,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             fp2.append(b)
             sha.append(hashlib.sha256(data).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("uid"), batch.column("n_chars"), pa.array(bytes_, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(sha, pa.string())],
-            names=["doc_id", "uid", "n_chars", "n_bytes", "fp1", "fp2", "text_sha256"],
+            [batch.column("doc_id"), batch.column("n_chars"), pa.array(bytes_, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(sha, pa.string())],
+            names=["doc_id", "n_chars", "n_bytes", "fp1", "fp2", "text_sha256"],
         )
 
 
@@ -108,10 +108,10 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, keep_id, group_size, kept, text_sha256, n_chars for every row.
 
     Of rows whose texts are equal without white space, the one with the most code points stays, then the smallest
-    id; null ids come last. Of rows repeated under one id only one stays. Null texts count as empty, and empty texts
+    id; null ids come last. Rows repeated under one id stay or go together. Null texts count as empty, and empty texts
     are copies of each other. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.length(text_or_empty(docs, text_col)).cast("long").alias("n_chars"), text_or_empty(docs, text_col).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.length(text_or_empty(docs, text_col)).cast("long").alias("n_chars"), text_or_empty(docs, text_col).alias("text"))
     prints = staged(rows.mapInArrow(_fingerprints, _SCHEMA), "exact-prints")
     key = ["fp1", "fp2", "n_bytes"]
     several = prints.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -124,10 +124,10 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Groups whose chunks differ are told apart by SHA-256; all others keep one class for the whole fingerprint.
     classed = prints.join(unequal, key, "left").withColumn("part", F.when(F.col("part"), F.col("text_sha256")).otherwise(F.lit("")))
     key = [*key, "part"]
-    # The best row as one decimal, so that the aggregate needs no sort: most code points, then smallest id, then first row.
+    # Two aggregates of longs, which need no sort: most code points, then the smallest id among these.
     best_chars = classed.groupBy(key).agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("group_size"))
-    best_id = classed.groupBy(*key, "n_chars").agg(F.min("doc_id").alias("keep_id"), F.min("uid").alias("any_uid"), F.min(F.when(F.col("doc_id").isNull(), F.col("uid"))).alias("null_uid"))
-    best = best_chars.join(best_id, [*key, "n_chars"]).withColumnRenamed("n_chars", "best_chars").drop("any_uid")
+    best_id = classed.groupBy(*key, "n_chars").agg(F.min("doc_id").alias("keep_id"))
+    best = best_chars.join(best_id, [*key, "n_chars"]).withColumnRenamed("n_chars", "best_chars")
     return (
         classed.join(best, key)
         .withColumn("first", (F.col("n_chars") == F.col("best_chars")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))

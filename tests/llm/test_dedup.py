@@ -71,6 +71,8 @@ def test_exact_dedup(spark):
     for i, (keep, size, sha) in naive_exact(texts, range(len(texts))).items():
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["text_sha256"], got[i]["kept"]) == (keep, size, sha, keep == i)
     assert dedup_exact(table(spark, [])).count() == 0
+    twice = dedup_exact(table(spark, ["a b", "a b", "ab", "z"], [4, 4, None, None])).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in twice) == [(-1, -1, 1, True), (-1, 4, 3, False), (4, 4, 3, True), (4, 4, 3, True)]
 
 
 def test_exact_dedup_splits_equal_fingerprints(spark, monkeypatch):
@@ -84,7 +86,7 @@ def test_exact_dedup_splits_equal_fingerprints(spark, monkeypatch):
 
         for b in run(batches):
             zero = pa.array([0] * b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], zero, zero, b.column(6)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], zero, zero, b.column(5)], names=b.schema.names)
 
     monkeypatch.setattr(module, "_fingerprints", same)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in dedup_exact(table(spark, [t for t, _ in rows], [i for _, i in rows])).collect()}
