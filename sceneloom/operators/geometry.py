@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rotate_left, shoelace
-from ..joins import range_join  # noqa: F401
 from ..registry import query, table
 
 
