@@ -29,7 +29,8 @@ MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 19
 END_ID = 1
 #: Runs that a worker remembers; beyond it the memory starts anew. It changes speed only.
-_WORDS_REMEMBERED = 300_000
+_WORDS_REMEMBERED = 800_000
+_PIECES_REMEMBERED = 300_000
 _BLOCK = 512
 
 
@@ -150,6 +151,16 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """array with values at a place, in a larger copy where they don't fit."""
+    if at + len(values) > len(array):
+        larger = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
+        larger[:at] = array[:at]
+        array = larger
+    array[at : at + len(values)] = values
+    return array
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and works within the runs between it, so that each run needs encoding once.
 
@@ -178,7 +189,9 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.ids, self.first, self.count = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        # Entry 0 is the end of a document. The arrays grow by doubling.
+        self.entries = self.filled = 1
+        self.ids, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
     def word(self, text: str) -> list[int]:
         """Ids of one run without white space."""
@@ -200,16 +213,19 @@ class WordEncoder:
             counts.append(len(one))
             ids += one
         counts = np.array(counts, np.int64)
-        self.known.update(zip(hashes, range(len(self.count), len(self.count) + len(words)), strict=True))
-        self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
-        self.count = np.r_[self.count, counts]
-        self.ids = np.r_[self.ids, np.array(ids, np.uint32)]
+        self.known.update(zip(hashes, range(self.entries, self.entries + len(words)), strict=True))
+        self.first = _put(self.first, self.entries, self.filled + np.cumsum(counts) - counts)
+        self.count = _put(self.count, self.entries, counts)
+        self.ids = _put(self.ids, self.filled, np.array(ids, np.uint32))
+        self.entries += len(words)
+        self.filled += len(ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with end_id behind; number of ids of each text)."""
         if len(self.known) > _WORDS_REMEMBERED:
             self._forget()
-        # Entry 0 is the end of a document.
+        if len(self.pieces) > _PIECES_REMEMBERED:
+            self.pieces.clear()
         self.ids[0] = end_id
         data = b"\n".join(texts)
         starts, ends, hashes = word_spans(data)
@@ -266,8 +282,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sh
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "first_row", "n_tokens", "doc_ids", "nulls", "sizes", "blob"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 part = batch.column("part")[0].as_py()
                 got, lengths = encoder.encode([t.as_buffer().to_pybytes() for t in batch.column("text")], end_id)
                 ids.append(got)
