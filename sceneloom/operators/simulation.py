@@ -75,7 +75,7 @@ def slide(line: Column) -> Column:
 def slide_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of tiles moved to the front, with the score of the move."""
     tiles = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda t: F.pow(F.lit(2), 1 + F.pmod(t["l_partkey"], F.lit(2))).cast("long"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 1000").groupBy("l_orderkey").agg(tiles.alias("line"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(tiles.alias("line"))
     return rows.select("l_orderkey", slide(F.col("line")).alias("m")).select("l_orderkey", F.concat_ws(",", F.col("m.line").cast("array<string>")).alias("line"), F.col("m.score").alias("score"))
 
 
@@ -118,7 +118,7 @@ def turing_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = lambda w, m, s: F.struct(F.lit(w).alias("write"), F.lit(m).alias("move"), F.lit(s).alias("state"))
     rules = F.create_map(F.lit("A:0"), rule(1, 1, "B"), F.lit("A:1"), rule(0, -1, "B"), F.lit("B:0"), rule(1, -1, "A"), F.lit("B:1"), rule(1, 1, "A"))
     tape = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.shiftright("p_size", 0).bitwiseAND(F.pow(F.lit(2), i).cast("int")).cast("boolean").cast("int"))
-    rows = table(spark, sf_dir, "part").where("p_partkey < 500").select("p_partkey", turing(tape, rules, 10).alias("s"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", turing(tape, rules, 10).alias("s"))
     return rows.select("p_partkey", F.concat_ws("", F.col("s.tape").cast("array<string>")).alias("tape"), (F.col("s.head") - 1).alias("head"), F.col("s.state").alias("state"))
 
 
@@ -167,7 +167,7 @@ def pop_run(chain: Column, place: Column, colour: Column) -> Column:
 def marble_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marbles removed when a marble is shot into the middle of each order's chain of flags."""
     chain = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda r: r["l_returnflag"])
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(chain.alias("chain"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(chain.alias("chain"))
     return rows.select("l_orderkey", pop_run(F.col("chain"), F.floor(F.size("chain") / 2).cast("int"), F.lit("R")).alias("gone"))
 
 
