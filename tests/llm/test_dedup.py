@@ -178,3 +178,18 @@ def test_repeated_passages(spark, turns):
     spans = {one["doc_id"]: (one["start_word"], one["end_word"]), one["other_id"]: (one["other_start"], one["other_end"])}
     assert spans == {0: (80, 135), 1: (10, 65)}
     assert repeated_passages(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("turns", [0, 2])
+def test_near_passages_in_buckets_of_many_families(spark, turns):
+    """Eight families share 45 words; the two texts of a family are near (Jaccard 0.84), without a common run of 50 words."""
+    rng = random.Random(11)
+    hot, families = words(rng, 45), []
+    for _ in range(8):
+        text = words(rng, 36) + hot + words(rng, 36)
+        edited = list(text)
+        edited[33], edited[83] = "here", "there"
+        families.append((" ".join(text), " ".join(edited)))
+    rows = repeated_passages(table(spark, [x for x, _ in families] + [y for _, y in families]), turns=turns).collect()
+    linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
+    assert linked == {frozenset((i, i + 8)) for i in range(8)}
