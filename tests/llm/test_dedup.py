@@ -193,3 +193,18 @@ def test_near_passages_in_buckets_of_many_families(spark, turns):
     rows = repeated_passages(table(spark, [x for x, _ in families] + [y for _, y in families]), turns=turns).collect()
     linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
     assert linked == {frozenset((i, i + 8)) for i in range(8)}
+
+
+def test_short_near_passages_are_found(spark):
+    """Passages of 50 to 60 words with one edit in the middle (Jaccard 0.80 to 0.84) share no long run of words; at least nine of ten are found."""
+    rng = random.Random(12)
+    left, right = [], []
+    for i in range(60):
+        passage = words(rng, 50 + 5 * (i % 3))
+        edited = list(passage)
+        edited[len(passage) // 2] = "edited"
+        left.append(" ".join(words(rng, 60) + passage + words(rng, 40)))
+        right.append(" ".join(words(rng, 40) + edited + words(rng, 60)))
+    rows = repeated_passages(table(spark, left + right)).collect()
+    linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
+    assert linked <= {frozenset((i, i + 60)) for i in range(60)} and len(linked) >= 54
