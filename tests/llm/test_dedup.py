@@ -208,3 +208,25 @@ def test_short_near_passages_are_found(spark):
     rows = repeated_passages(table(spark, left + right)).collect()
     linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
     assert linked <= {frozenset((i, i + 60)) for i in range(60)} and len(linked) >= 54
+
+
+def test_every_place_of_a_passage_is_found(spark):
+    rng = random.Random(13)
+    passage, inner = words(rng, 60), words(rng, 70)
+    texts = [
+        words(rng, 40) + passage + words(rng, 20),
+        words(rng, 30) + passage + words(rng, 10) + passage + words(rng, 55) + passage,
+        words(rng, 15) + inner + inner + words(rng, 80) + inner,
+        words(rng, 100),
+        words(rng, 3) * 200,
+    ]
+    rows = repeated_passages(table(spark, [" ".join(x) for x in texts])).collect()
+    covered = {i: set() for i in range(5)}
+    for r in rows:
+        assert r["doc_id"] != r["other_id"] or r["other_end"] <= r["start_word"]
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        covered[r["other_id"]] |= set(range(r["other_start"], r["other_end"]))
+    assert covered[0] == {*range(40, 100)}
+    assert covered[1] == {*range(30, 90), *range(100, 160), *range(215, 275)}
+    assert covered[2] == {*range(15, 155), *range(235, 305)}
+    assert not covered[3] and not covered[4]
