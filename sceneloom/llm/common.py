@@ -85,5 +85,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ranges_for(df: DataFrame, mb: int = 64) -> int:
+    """Partitions for a shuffle of df: as the session has them, but more where the input's files have more than mb MB for each."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Plans without statistics claim an absurd size.
+    by_size = -(-estimate // (mb << 20)) if estimate < 1 << 60 else 1
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
+
+
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))

@@ -6,26 +6,10 @@ import numpy as np
 
 from .common import SPACES
 
-_SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([chr(b) not in SPACES for b in range(256)])
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    global _power, _inverse
-    if len(_power) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            both.append(np.multiply.accumulate(table))
-        _power, _inverse = both
-    return _power, _inverse
+#: Places in a word that have table rows of their own; later places are mixed one by one.
+_PLACES = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,35 +19,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+_table = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """64-bit hash of every word, in order; A-Z count as a-z."""
-    if lower:
-        text = text.translate(_LOWER)
-    if len(text) <= _SEGMENT:
-        return word_spans(text)[2]
-    parts, at = [], 0
-    flat = np.frombuffer(text, np.uint8)
-    while at < len(text):
-        end = min(at + _SEGMENT, len(text))
-        # A segment ends at white space, so no word is cut.
-        while end < len(text) and _IS_WORD[flat[end]]:
-            end += 1
-        parts.append(word_spans(text[at:end])[2])
-        at = end
-    return np.concatenate(parts)
+    return word_spans(text.translate(_LOWER) if lower else text)[2]
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word of a text that is small enough to be taken at once."""
+    """Start, end and hash of every word. A hash is the sum of random values for each byte at its place in the word."""
     flat = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(flat) + 2, np.int8)
+    inside = np.zeros(len(flat) + 2, np.bool_)
     inside[1:-1] = _IS_WORD[flat]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _tables(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    lengths = ends - starts
+    letters = flat[inside[1:-1]]
+    begins = np.cumsum(lengths) - lengths
+    kind = np.int32 if len(letters) < 1 << 23 else np.int64
+    place = np.arange(len(letters), dtype=kind) - np.repeat(begins.astype(kind), lengths)
+    code = place << 8 | letters
+    if int(lengths.max()) <= _PLACES:
+        values = _table[code]
+    else:
+        far = code >= len(_table)
+        values = _table[np.where(far, 0, code)]
+        values[far] = mix(code[far].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    return starts, ends, mix(np.add.reduceat(values, begins) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -60,14 +60,21 @@ def test_wavelet_matrix():
         assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
     assert m.occurrences(int(ids[9])) == np.flatnonzero(ids == ids[9]).tolist() and m.select(699, 10**6) == -1
     with pytest.raises(ValueError):
-        WaveletMatrix.from_bytes(b"WVM1" + bytes(15) + b"\x01")
+        WaveletMatrix.from_bytes(b"WVM2" + bytes(19) + b"\x01")
+    with pytest.raises(ValueError):
+        WaveletMatrix.from_bytes(b"WVM1" + bytes(40))
+    # Rank, select and access read the ranks in the file; a plane is unpacked only when it is needed.
+    again = WaveletMatrix.from_bytes(WaveletMatrix.build(ids, 10).to_bytes())
+    assert all(isinstance(p, bytes) for p in again._planes)
+    assert again.rank(5, 5000) == (ids == 5).sum() and again.select(5, 0) == np.flatnonzero(ids == 5)[0]
+    empty = WaveletMatrix.from_bytes(WaveletMatrix.build(np.zeros(0, np.int64), 10).to_bytes())
+    assert len(empty.all()) == 0 and empty.rank(5, 0) == 0
 
 
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     rng = random.Random(4)
     letters = [chr(c) for c in range(33, 0x180)] + list(" \t\xa0　ΣŸ")
     texts = HARD + ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(200)]
@@ -83,6 +90,48 @@ def test_token_files(spark):
     assert WordEncoder(WORDS).quick
 
 
+def test_runs_with_equal_hashes_and_special_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from sceneloom.llm import token_files
+
+    library = Tokenizer.from_file(WORDS)
+    one = b"a"
+    for _ in range(10):
+        one += bytes(ord("a") + ord("b") - c for c in one)
+    two = bytes(ord("a") + ord("b") - c for c in one)
+    texts = [one, two, b"x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|>", b"", b"plain words"]
+    expected = [[*library.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    assert any(49407 in ids for ids in expected)
+
+    def split(got):
+        ids, sizes = got
+        return [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    assert split(WordEncoder(WORDS).encode(texts, 1)) == expected
+    library.encode_special_tokens = True
+    assert split(WordEncoder(WORDS, special_as_text=True).encode(texts, 1)) == [[*library.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    # Whatever the hashes are, runs are told apart by their bytes; long texts go in parts.
+    spans = token_files.word_spans
+    monkeypatch.setattr(token_files, "word_spans", lambda data: (*spans(data)[:2], spans(data)[2] & np.uint64(1)))
+    assert split(WordEncoder(WORDS).encode(texts, 1)) == expected
+    monkeypatch.setattr(token_files, "_SLICE_BYTES", 7)
+    assert split(WordEncoder(WORDS).encode(texts, 1)) == expected
+
+
+def test_shards_end_by_document(spark):
+    from sceneloom.llm.token_files import token_occurrences
+
+    texts = ["one two three four"] * 10 + ["word " * 50] + ["five"] * 3
+    files = write_token_files(table(spark, texts).coalesce(1), WORDS, shard_tokens=12)
+    rows = sorted(read_token_files(files).collect())
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
+    sizes = [np.frombuffer(bytes(r["sizes"]), "<i8").tolist() for r in files.collect()]
+    assert all(sum(s[:-1]) < 12 for s in sizes) and any(len(s) > 1 for s in sizes)
+    ends = token_occurrences(files, 1)
+    assert ends.count() == len(texts) and ends.where("place < 0").count() == 0
+
+
 def test_budget_fit():
     assert water_fill([10, 10, 0], [5.0, 2.0, 1.0], 30.0) == [20.0, 10.0, 0.0]
     assert sum(water_fill([100, 50, 10], [5, 2, 1], 240)) == pytest.approx(240)
