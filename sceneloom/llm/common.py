@@ -17,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -46,7 +47,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back: cuts the lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sceneloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What was shuffled for the write is of no use after it.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _staged.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
@@ -87,10 +94,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ranges_for(df: DataFrame, mb: int = 64) -> int:
     """Partitions for a shuffle of df: as the session has them, but more where the input's files have more than mb MB for each."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # Plans without statistics claim an absurd size.
-    by_size = -(-estimate // (mb << 20)) if estimate < 1 << 60 else 1
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Inputs without statistics claim an absurd size.
+    known = sum(size for size in sizes if size < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // (mb << 20)))
 
 
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:

@@ -126,12 +126,31 @@ def near_copies(rng, base, n, most):
 @pytest.mark.parametrize("small", [1, 8])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
+    if small == 1:
+        monkeypatch.setattr(jaccard_join, "SMALL_LATER", 1)
     rng = random.Random(5)
     texts = [*EDGE, *near_copies(rng, words(rng, 150), 40, 9), *near_copies(rng, words(rng, 40), 20, 4), *(" ".join(words(rng, 60)) for _ in range(20)), "A B C", "a b  c", "a b c d"]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(table(spark, texts), 4, 85).collect()}
     assert got == naive_components(texts, range(len(texts)), 4, 85)
 
 
+def test_jaccard_join_large_families(spark):
+    """Two families of which many copies link and many don't, a template that far copies share, and many small families."""
+    rng = random.Random(15)
+    template = words(rng, 60)
+    far = [" ".join(template[:45] + words(rng, 25)) for _ in range(60)]
+    texts = [t for n in (300, 250) for t in near_copies(rng, words(rng, 150), n, 14)] + far + [t for _ in range(40) for t in near_copies(rng, words(rng, 70), 6, 5)]
+    for k, percent in ((4, 85), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(table(spark, texts), k, percent).collect()}
+        assert got == naive_components(texts, range(len(texts)), k, percent)
+
+
+def test_jaccard_join_many_rows_without_id(spark):
+    texts = [t for i in range(40) for t in (f"a b c d e f {i % 20}", "same words in here for all")]
+    got = jaccard_join.similar_components(table(spark, texts, [None] * 79 + [5]), 4, 60).collect()
+    assert len(got) == 80 and {r["component_id"] for r in got} == {None, 5}
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.similar_components(table(spark, []), 5, 80).count() == 0
     got = jaccard_join.similar_components(table(spark, ["a b c d e f", "a b c d e f", None], [3, 3, None]), 5, 80).collect()
