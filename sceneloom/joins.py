@@ -57,6 +57,27 @@ def overlapping_pairs(intervals: DataFrame, lo: str, hi: str, on: list[str]) ->
     return seen.groupBy(*on).agg((F.sum("starts") - n - F.floor(n * (n - 1) / 2)).alias("pairs")).where("pairs > 0")
 
 
-def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Closed intervals share a point."""
-    return F.greatest(lo_a, lo_b) <= F.least(hi_a, hi_b)
+def overlap_counts(points: DataFrame, intervals: DataFrame, key: str, point_range: tuple[str, str], range_: tuple[str, str], width: float) -> DataFrame:
+    """key, n: how many closed intervals overlap each row's closed interval, without forming pairs.
+
+    n is the number of starts up to the row's end less that of ends before its start. Both come from running sums within
+    buckets of `width` and one over the buckets' totals. Intervals whose end lies before their start count nowhere.
+    """
+    (a, b), (lo, hi) = point_range, range_
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    name = F.lit(None).cast(points.schema[key].dataType)
+
+    def row(at: str, order: int, starts: Column, ends: Column, sign: int, owner: Column) -> Column:
+        return F.struct(F.col(at).cast("double").alias("at"), F.lit(order).alias("order"), starts.alias("starts"), ends.alias("ends"), F.lit(sign).alias("sign"), owner.alias("key"))
+
+    marks = intervals.where(F.col(lo) <= F.col(hi)).select(F.explode(F.array(row(lo, 0, one, none, 0, name), row(hi, 2, none, one, 0, name))).alias("r"))
+    asked = points.where(F.col(a) <= F.col(b)).select(F.explode(F.array(row(b, 1, none, none, 1, F.col(key)), row(a, 1, none, none, -1, F.col(key)))).alias("r"))
+    rows = marks.union(asked).select("r.*").withColumn("bucket", F.floor(F.col("at") / F.lit(width)))
+    totals = rows.groupBy("bucket").agg(F.sum("starts").alias("s"), F.sum("ends").alias("e"))
+    # One row per bucket.
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("bucket", F.coalesce(F.sum("s").over(before), none).alias("s"), F.coalesce(F.sum("e").over(before), none).alias("e"))
+    inside = Window.partitionBy("bucket").orderBy("at", "order").rangeBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"starts": F.sum("starts").over(inside), "ends": F.sum("ends").over(inside)}).where("sign <> 0").join(base, "bucket")
+    value = F.when(F.col("sign") > 0, F.col("starts") + F.col("s")).otherwise(-(F.col("ends") + F.col("e")))
+    return seen.groupBy(F.col("key").alias(key)).agg(F.sum(value).alias("n"))

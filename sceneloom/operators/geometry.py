@@ -64,12 +64,12 @@ def crossings_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     "polygon_area",
     "P31+P27",
     ("formula_evaluation", "spatial_relations"),
-    "WITH v AS (SELECT user_id, row_number() OVER w AS i, value AS y, CAST(event_id % 100 AS DOUBLE) AS x, lead(value) OVER w AS ny, CAST(lead(event_id) OVER w % 100 AS DOUBLE) AS nx, first_value(value) OVER w AS fy, CAST(first_value(event_id) OVER w % 100 AS DOUBLE) AS fx FROM events WHERE event_id < 2000 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, round(abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2, 3) AS area FROM v GROUP BY user_id",
+    "WITH v AS (SELECT user_id, row_number() OVER w AS i, value AS y, CAST(event_id % 100 AS DOUBLE) AS x, lead(value) OVER w AS ny, CAST(lead(event_id) OVER w % 100 AS DOUBLE) AS nx, first_value(value) OVER w AS fy, CAST(first_value(event_id) OVER w % 100 AS DOUBLE) AS fx FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, round(abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2, 3) AS area FROM v GROUP BY user_id",
 )
 def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shoelace area of each closed polygon, as a fold over its ordered corners."""
     corners = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    p = table(spark, sf_dir, "events").where("event_id < 2000").groupBy("user_id").agg(corners.alias("c"))
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(corners.alias("c"))
     xs, ys = F.transform("c", lambda v: F.pmod(v["event_id"], F.lit(100)).cast("double")), F.transform("c", lambda v: v["value"])
     return p.withColumns({"xs": xs, "ys": ys}).select("user_id", F.round(shoelace(F.col("xs"), F.col("ys")), 3).alias("area"))
 
@@ -88,12 +88,12 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(n)).groupBy("n_name").agg(F.min_by("s_name", F.struct(d, "s_suppkey")).alias("nearest"))
 
 
-_FLAGS = "a AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS f FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey)"
+_FLAGS = "a AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS f FROM lineitem GROUP BY l_orderkey)"
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.transform(rows, lambda r: r["l_returnflag"]).alias("f"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda r: r["l_returnflag"]).alias("f"))
 
 
 @query("rotate_sequence", "P32", ("transformation",), f"WITH {_FLAGS} SELECT l_orderkey, array_to_string(list_concat(f[1 + 2 % len(f):], f[:2 % len(f)]), '') AS rotated, array_to_string(list_reverse(f), '') AS mirrored FROM a")
@@ -109,11 +109,11 @@ def canonical_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).select(F.array_min(every).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
 
 
-@query("overlay_union", "P32", ("transformation",), "SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(coalesce(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'F'), []), coalesce(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'P'), [])))), ',') AS cells FROM orders WHERE o_custkey < 300 GROUP BY o_custkey")
+@query("overlay_union", "P32", ("transformation",), "SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(coalesce(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'F'), []), coalesce(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'P'), [])))), ',') AS cells FROM orders GROUP BY o_custkey")
 def overlay_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two sheets' cells."""
     sheet = lambda s: F.collect_set(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority")))
-    return table(spark, sf_dir, "orders").where("o_custkey < 300").groupBy("o_custkey").agg(F.concat_ws(",", F.array_sort(F.array_union(sheet("F"), sheet("P")))).alias("cells"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat_ws(",", F.array_sort(F.array_union(sheet("F"), sheet("P")))).alias("cells"))
 
 
 @query("symbol_decode", "P36", ("direct_retrieval", "matching"), "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'a' WHEN '2-HIGH' THEN 'b' WHEN '3-MEDIUM' THEN 'c' WHEN '4-NOT SPECIFIED' THEN 'd' ELSE '?' END AS symbol, count(*) AS n FROM orders GROUP BY 1")
@@ -127,14 +127,14 @@ def symbol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     "clock_readout",
     "P36+P27",
     ("formula_evaluation",),
-    "WITH m AS (SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS t FROM events WHERE event_id < 3000) SELECT event_id, printf('%02d:%02d', (t + 95) % 1440 // 60, (t + 95) % 60) AS later, least(abs(t % 720 * 0.5 - t % 60 * 6.0), 360 - abs(t % 720 * 0.5 - t % 60 * 6.0))::DOUBLE AS angle FROM m",
+    "WITH m AS (SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS t FROM events) SELECT event_id, printf('%02d:%02d', (t + 95) % 1440 // 60, (t + 95) % 60) AS later, least(abs(t % 720 * 0.5 - t % 60 * 6.0), 360 - abs(t % 720 * 0.5 - t % 60 * 6.0))::DOUBLE AS angle FROM m",
 )
 def clock_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock arithmetic: a time 95 minutes later, and the smaller angle between the hands."""
     from ..functions.scalar import clock_add, clock_text, hand_angle
 
     t = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
-    m = table(spark, sf_dir, "events").where("event_id < 3000").select("event_id", t.alias("t"))
+    m = table(spark, sf_dir, "events").select("event_id", t.alias("t"))
     return m.select("event_id", clock_text(clock_add(F.col("t"), F.lit(95))).alias("later"), hand_angle(F.col("t")).cast("double").alias("angle"))
 
 
@@ -142,13 +142,13 @@ def clock_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     "candidate_values",
     "P39",
     ("filtering", "logical_composition"),
-    "WITH p AS (SELECT DISTINCT o_orderpriority FROM orders), c AS (SELECT c_custkey FROM customer WHERE c_custkey < 200) SELECT c_custkey, coalesce(string_agg(p.o_orderpriority, ',' ORDER BY p.o_orderpriority) FILTER (WHERE o.o_custkey IS NULL), '') AS candidates FROM c CROSS JOIN p LEFT JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) o ON o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority GROUP BY c_custkey",
+    "WITH p AS (SELECT DISTINCT o_orderpriority FROM orders), c AS (SELECT c_custkey FROM customer) SELECT c_custkey, coalesce(string_agg(p.o_orderpriority, ',' ORDER BY p.o_orderpriority) FILTER (WHERE o.o_custkey IS NULL), '') AS candidates FROM c CROSS JOIN p LEFT JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) o ON o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority GROUP BY c_custkey",
 )
 def candidate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the domain still allows: all values without those of the peers."""
     domain = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
     used = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderpriority").alias("used"))
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200").select("c_custkey").join(used, "c_custkey", "left")
+    c = table(spark, sf_dir, "customer").select("c_custkey").join(used, "c_custkey", "left")
     return c.select("c_custkey", F.concat_ws(",", F.array_except(domain, F.coalesce("used", F.array().cast("array<string>")))).alias("candidates"))
 
 
@@ -156,11 +156,11 @@ def candidate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fold_state_update",
     "P25",
     ("state_update",),
-    "WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 40), r AS (SELECT user_id, i, (v * 7 + 3) % 1009 AS s FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.v % 5 = 0 THEN (r.s + e.v) % 1009 ELSE (r.s * 31 + e.v * 7 + 3) % 1009 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, CAST(arg_max(s, i) AS BIGINT) AS state FROM r GROUP BY user_id",
+    "WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, i, (v * 7 + 3) % 1009 AS s FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.v % 5 = 0 THEN (r.s + e.v) % 1009 ELSE (r.s * 31 + e.v * 7 + 3) % 1009 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, CAST(arg_max(s, i) AS BIGINT) AS state FROM r GROUP BY user_id",
 )
 def fold_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state machine folded over each key's ordered events."""
-    e = table(spark, sf_dir, "events").where("user_id < 40").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
     step = lambda s, x: F.when(x["event_id"] % 5 == 0, F.when(s < 0, x["event_id"] * 7 + 3).otherwise(s + x["event_id"]) % 1009).otherwise((F.when(s < 0, 0).otherwise(s) * 31 + x["event_id"] * 7 + 3) % 1009)
     return e.select("user_id", F.aggregate("a", F.lit(-1).cast("long"), step).alias("state"))
 
@@ -169,11 +169,11 @@ def fold_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     "legal_targets",
     "P37",
     ("filtering", "topology"),
-    "WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey < 200 AND l_quantity > 5), b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey < 200 AND l_returnflag = 'R' AND l_quantity > 20) SELECT p, CAST(min(s) AS BIGINT) AS first_target, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.p = c.p AND b.s <= c.s) GROUP BY p",
+    "WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity > 5), b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 20) SELECT p, CAST(min(s) AS BIGINT) AS first_target, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.p = c.p AND b.s <= c.s) GROUP BY p",
 )
 def legal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets along a ray before the first blocker: the smallest blocking step, then a filter."""
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 200")
+    lines = table(spark, sf_dir, "lineitem")
     c = lines.where("l_quantity > 5").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     b = lines.where("l_returnflag = 'R' AND l_quantity > 20").groupBy(F.col("l_partkey").alias("p")).agg(F.min("l_suppkey").alias("stop"))
     return c.join(b, "p", "left").where("stop IS NULL OR s < stop").groupBy("p").agg(F.min("s").alias("first_target"), F.count("*").alias("n"))

@@ -38,11 +38,11 @@ def degree_filter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     "common_neighbour_count",
     "P19",
     ("topology", "counting"),
-    "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey < 12) SELECT a.s AS s1, b.s AS s2, count(*) AS n FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY ALL",
+    "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT a.s AS s1, b.s AS s2, count(*) AS n FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY ALL",
 )
 def common_neighbour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours that two nodes share: self-join on the neighbour."""
-    e = table(spark, sf_dir, "lineitem").where("l_suppkey < 12").select(F.col("l_suppkey").alias("s1"), F.col("l_partkey").alias("p")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s1"), F.col("l_partkey").alias("p")).distinct()
     return e.join(e.withColumnRenamed("s1", "s2"), "p").where("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("n"))
 
 
@@ -94,13 +94,13 @@ def join_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tree_lca",
     "P23",
     ("topology",),
-    "WITH RECURSIVE p AS (SELECT o_orderkey AS k, 1 + o_orderkey % 1000 AS a0, 1 + o_custkey % 1000 AS b0 FROM orders WHERE o_orderkey < 2000), r AS (SELECT k, a0 AS a, b0 AS b FROM p UNION ALL SELECT k, CASE WHEN a > b THEN a // 2 ELSE a END, CASE WHEN b >= a THEN b // 2 ELSE b END FROM r WHERE a <> b) SELECT k, CAST(a AS BIGINT) AS lca FROM r WHERE a = b",
+    "WITH RECURSIVE p AS (SELECT o_orderkey AS k, 1 + o_orderkey % 1000 AS a0, 1 + o_custkey % 1000 AS b0 FROM orders), r AS (SELECT k, a0 AS a, b0 AS b FROM p UNION ALL SELECT k, CASE WHEN a > b THEN a // 2 ELSE a END, CASE WHEN b >= a THEN b // 2 ELSE b END FROM r WHERE a <> b) SELECT k, CAST(a AS BIGINT) AS lca FROM r WHERE a = b",
 )
 def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest common ancestor in a binary tree: the longest common prefix of the two root paths."""
     a, b = F.bin(1 + F.pmod("o_orderkey", F.lit(1000))), F.bin(1 + F.pmod("o_custkey", F.lit(1000)))
     same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("a"), F.length("b"))), lambda i: F.col("a").substr(F.lit(1), i) == F.col("b").substr(F.lit(1), i)))
-    p = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), a.alias("a"), b.alias("b"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), a.alias("a"), b.alias("b"))
     return p.select("k", F.conv(F.col("a").substr(F.lit(1), same), 2, 10).cast("long").alias("lca"))
 
 

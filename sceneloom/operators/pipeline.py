@@ -84,12 +84,12 @@ def task_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     "prompt_slots",
     "P29",
     ("filtering",),
-    "WITH p AS (SELECT event_id, 'count {' || event_type || '} for user {user}' || CASE WHEN event_id % 3 = 0 THEN ' in {ghost}' ELSE '' END AS t FROM events WHERE event_id < 900) SELECT slot, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '\\{([A-Za-z_][A-Za-z0-9_]*)\\}', 1)) AS slot FROM p) GROUP BY slot",
+    "WITH p AS (SELECT event_id, 'count {' || event_type || '} for user {user}' || CASE WHEN event_id % 3 = 0 THEN ' in {ghost}' ELSE '' END AS t FROM events) SELECT slot, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '\\{([A-Za-z_][A-Za-z0-9_]*)\\}', 1)) AS slot FROM p) GROUP BY slot",
 )
 def prompt_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots that prompts name."""
     t = F.concat(F.lit("count {"), F.col("event_type"), F.lit("} for user {user}"), F.when(F.col("event_id") % 3 == 0, " in {ghost}").otherwise(""))
-    return table(spark, sf_dir, "events").where("event_id < 900").select(F.explode(placeholders(t)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").select(F.explode(placeholders(t)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..joins import asof_join, overlapping_pairs, present_in_every, range_join
+from ..joins import asof_join, overlap_counts, overlapping_pairs, present_in_every
 from ..registry import query, table
 
 _SESSIONS = "s AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS day, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY ALL)"
@@ -54,13 +54,12 @@ def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     "interval_hits",
     "P24",
     ("spatial_relations", "matching"),
-    f"WITH {_SESSIONS}, p AS (SELECT event_id AS a, event_id + 3 AS b FROM events WHERE event_type = 'error' AND event_id % 50 = 0) SELECT a AS event_id, count(*) AS n FROM p JOIN s ON greatest(a, lo) <= least(b, hi) AND user_id < 30 GROUP BY a",
+    f"WITH {_SESSIONS}, p AS (SELECT event_id AS a, event_id + 3 AS b FROM events WHERE event_type = 'error') SELECT a AS event_id, count(*) AS n FROM p JOIN s ON greatest(a, lo) <= least(b, hi) GROUP BY a",
 )
 def interval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that overlap a short interval around each selected event, by the bucketed range join."""
-    s = _sessions(spark, sf_dir).where("user_id < 30").select("user_id", "lo", "hi")
-    p = table(spark, sf_dir, "events").where("event_type = 'error' AND event_id % 50 = 0").select(F.col("event_id").alias("a"), (F.col("event_id") + 3).alias("b"))
-    return range_join(p, s, ("a", "b"), ("lo", "hi"), 256).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
+    """How many sessions overlap a short interval around each error: starts up to its end, less ends before its start."""
+    p = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("event_id").alias("a"), (F.col("event_id") + 3).alias("b"))
+    return overlap_counts(p, _sessions(spark, sf_dir), "event_id", ("a", "b"), ("lo", "hi"), 4096).where("n > 0")
 
 
 @query("set_intersect", "set", ("matching",), "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

@@ -104,12 +104,12 @@ def ordered_adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "adjacency_relation_label",
     "P19",
     ("topology", "direct_retrieval"),
-    "WITH f AS (SELECT user_id, event_type, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, before, after FROM f WHERE event_type = 'signup' AND user_id < 20 AND before IS NOT NULL AND after IS NOT NULL",
+    "WITH f AS (SELECT user_id, event_type, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, before, after FROM f WHERE event_type = 'signup' AND before IS NOT NULL AND after IS NOT NULL",
 )
 def adjacency_relation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predecessor and successor of the selected units; the filter on users is pushed below the window."""
+    """Predecessor and successor of the selected units."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    f = table(spark, sf_dir, "events").where("user_id < 20").select("event_type", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"))
+    f = table(spark, sf_dir, "events").select("event_type", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"))
     return f.where("event_type = 'signup' AND before IS NOT NULL AND after IS NOT NULL").select("event_id", "before", "after")
 
 

@@ -147,11 +147,11 @@ def sow(pits: Column, pit: int) -> Column:
     "mancala_sow",
     "P25",
     ("state_update",),
-    "WITH p AS (SELECT p_partkey, p_size AS seeds FROM part WHERE p_partkey < 600) SELECT p_partkey, array_to_string(list_transform(range(6), lambda i: CASE WHEN i = 2 THEN 0 ELSE 4 END + seeds // 6 + CASE WHEN (i - 3 + 6) % 6 < seeds % 6 THEN 1 ELSE 0 END), ',') AS pits FROM p",
+    "WITH p AS (SELECT p_partkey, p_size AS seeds FROM part) SELECT p_partkey, array_to_string(list_transform(range(6), lambda i: CASE WHEN i = 2 THEN 0 ELSE 4 END + seeds // 6 + CASE WHEN (i - 3 + 6) % 6 < seeds % 6 THEN 1 ELSE 0 END), ',') AS pits FROM p",
 )
 def mancala_sow(spark: SparkSession, sf_dir: str) -> DataFrame:
     pits = F.array(*[F.col("p_size") if i == 2 else F.lit(4) for i in range(6)])
-    return table(spark, sf_dir, "part").where("p_partkey < 600").select("p_partkey", F.concat_ws(",", F.transform(sow(pits, 2), lambda v: v.cast("string"))).alias("pits"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", F.transform(sow(pits, 2), lambda v: v.cast("string"))).alias("pits"))
 
 
 def pop_run(chain: Column, place: Column, colour: Column) -> Column:
