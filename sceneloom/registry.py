@@ -20,6 +20,7 @@ MODULES = (
     "sceneloom.operators.sequence",
     "sceneloom.operators.relations",
     "sceneloom.operators.geometry",
+    "sceneloom.operators.rules",
     "sceneloom.operators.graphs",
     "sceneloom.operators.simulation",
     "sceneloom.operators.scoring",
