@@ -129,7 +129,7 @@ def domino_chain_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOARD = "b AS (SELECT l_orderkey // 32 AS g, CAST(l_partkey % 8 AS INTEGER) AS x, CAST(l_suppkey % 8 AS INTEGER) AS y, min(CASE WHEN l_linestatus = 'F' THEN 'B' ELSE 'W' END) AS disc FROM lineitem GROUP BY ALL)"
-_RAYS = F.expr("filter(flatten(transform(sequence(-1, 1), dx -> transform(sequence(-1, 1), dy -> struct(dx, dy)))), d -> d.dx <> 0 OR d.dy <> 0)")
+_RAYS = "filter(flatten(transform(sequence(-1, 1), dx -> transform(sequence(-1, 1), dy -> struct(dx, dy)))), d -> d.dx <> 0 OR d.dy <> 0)"
 
 
 def board_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def flips(boards: DataFrame, mover: str) -> DataFrame:
     own disc decide. Everything happens in aggregates by board and cell: the discs of one board are at most 64.
     """
     steps = F.explode(F.sequence(F.lit(1), F.lit(7)))
-    told = boards.select("g", F.col("x").alias("dx0"), F.col("y").alias("dy0"), "disc", F.explode(_RAYS).alias("d")).withColumn("k", steps)
+    told = boards.select("g", F.col("x").alias("dx0"), F.col("y").alias("dy0"), "disc", F.explode(F.expr(_RAYS)).alias("d")).withColumn("k", steps)
     told = told.select("g", (F.col("dx0") - F.col("k") * F.col("d.dx")).cast("int").alias("x"), (F.col("dy0") - F.col("k") * F.col("d.dy")).cast("int").alias("y"), "d", "k", "disc")
     told = told.where("x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7")
     own = F.min(F.when(F.col("disc") == mover, F.col("k")))
