@@ -229,6 +229,56 @@ def test_short_near_passages_are_found(spark):
     assert linked <= {frozenset((i, i + 60)) for i in range(60)} and len(linked) >= 54
 
 
+@pytest.mark.parametrize("fresh_edits", [True, False])
+def test_recall_of_near_passages(spark, fresh_edits):
+    """Passages of 50 to 200 words with one to four edits and Jaccard 0.8 or more between other words: at least nine of ten pairs, and nothing else, are found.
+
+    Edits are words that stand nowhere else, or such that two other documents have in the same place, so that their tokens count as shared.
+    """
+    rng = random.Random(14)
+    sizes = [(50, 1), (55, 1), (60, 1), (75, 1), (100, 2), (150, 3), (200, 4)]
+    texts, expected = [], set()
+    for i in range(70):
+        length, edits = sizes[i % len(sizes)]
+        passage = words(rng, length)
+        edited = list(passage)
+        for e in range(edits):
+            edited[(e + 1) * length // (edits + 1)] = f"e{rng.randrange(10**9)}"
+        grams = [{tuple(w[j : j + 5]) for j in range(length - 4)} for w in (passage, edited)]
+        assert len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1])
+        expected.add(frozenset((len(texts), len(texts) + 1)))
+        texts += [" ".join(words(rng, 60) + passage + words(rng, 40)), " ".join(words(rng, 40) + edited + words(rng, 60))]
+        if not fresh_edits:
+            middle = length // 2
+            texts += [" ".join(words(rng, 30) + w[middle - 15 : middle + 15] + words(rng, 30)) for w in (passage, edited)]
+    rows = repeated_passages(table(spark, texts)).collect()
+    linked = {frozenset((r["doc_id"], r["other_id"])) for r in rows}
+    assert linked <= expected and len(linked) >= 0.9 * len(expected)
+
+
+def test_dense_regions_are_unions_of_dense_ranges():
+    import numpy as np
+
+    from sceneloom.llm.substring_dedup import dense_regions
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        shared = rng.random(rng.integers(0, 60)) < rng.choice([0.5, 0.75, 0.9])
+        inside = np.zeros(len(shared), bool)
+        for a in range(len(shared)):
+            for b in range(a + 8, len(shared) + 1):
+                if 10 * shared[a:b].sum() >= 8 * (b - a):
+                    inside[a:b] = True
+        # Each run of the union is cut to its first and last shared token, and falls if it is too short then.
+        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+        expected = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            hits = np.flatnonzero(shared[a:b]) + a
+            if hits[-1] + 1 - hits[0] >= 8:
+                expected.append((int(hits[0]), int(hits[-1]) + 1))
+        assert dense_regions(shared, 8, 0.8) == expected
+
+
 def test_every_place_of_a_passage_is_found(spark):
     rng = random.Random(13)
     passage, inner = words(rng, 60), words(rng, 70)
