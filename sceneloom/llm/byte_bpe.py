@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import put, text_or_empty
 
 #: Pieces that a worker remembers; beyond it the memory starts anew. It changes speed only.
 REMEMBERED = 400_000
 #: Bytes of text whose new pieces are replayed together.
-BUFFER = 1 << 24
+BUFFER = 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +53,12 @@ class MergeReplay:
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.decimal = [str(i) for i in range(len(self.tokens))]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces met so far have numbers; their ids lie behind each other in one array."""
+        self.known: dict[str, int] = {}
+        self.ids, self.first, self.count, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
@@ -133,12 +138,14 @@ class MergeReplay:
             start += count
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = list(set(pieces).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(pieces))
-        self.known.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
+    def _learn(self, start: int) -> None:
+        """Ids of the pieces numbered from start."""
+        words = self.replay([p.encode() for p in islice(self.known, start, None)])
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = put(self.first, start, self.filled + np.cumsum(counts) - counts)
+        self.count = put(self.count, start, counts)
+        self.ids = put(self.ids, self.filled, np.fromiter(chain.from_iterable(words), np.int32, int(counts.sum())))
+        self.filled += int(counts.sum())
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
@@ -148,10 +155,17 @@ class MergeReplay:
             while end < len(texts) and (end == at or held + len(texts[end]) <= BUFFER):
                 held += len(texts[end])
                 end += 1
-            split = [self.pattern.findall(t) for t in texts[at:end]]
-            self.learn(set(chain.from_iterable(split)))
-            for pieces in split:
-                yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            if len(self.known) > REMEMBERED:
+                self._forget()
+            known, start = self.known, len(self.known)
+            number = known.setdefault
+            codes = [np.array([number(p, len(known)) for p in self.pattern.findall(t)], np.int32) for t in texts[at:end]]
+            if len(known) > start:
+                self._learn(start)
+            for code in codes:
+                count = self.count[code]
+                upto = np.cumsum(count)
+                yield self.ids[np.arange(int(count.sum())) + np.repeat(self.first[code] - upto + count, count)].tolist()
             at = end
 
     def decode(self, ids: list[int]) -> bytes:
@@ -210,7 +224,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

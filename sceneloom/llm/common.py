@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,5 +102,15 @@ def ranges_for(df: DataFrame, mb: int = 64) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // (mb << 20)))
 
 
+def put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """array with values at a place, in a larger copy where they don't fit."""
+    if at + len(values) > len(array):
+        larger = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
+        larger[:at] = array[:at]
+        array = larger
+    array[at : at + len(values)] = values
+    return array
+
+
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))

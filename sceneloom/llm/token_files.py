@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges_for, staged, text_or_empty
+from .common import put, ranges_for, staged, text_or_empty
 from .shingles import word_spans
 
 MAGIC = b"WVM2"
@@ -174,16 +174,6 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-    """array with values at a place, in a larger copy where they don't fit."""
-    if at + len(values) > len(array):
-        larger = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
-        larger[:at] = array[:at]
-        array = larger
-    array[at : at + len(values)] = values
-    return array
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and works within the runs between it, so that each run needs encoding once.
 
@@ -240,9 +230,9 @@ class WordEncoder:
             ids += one
         counts = np.array(counts, np.int64)
         self.known.update(zip(words, range(self.entries, self.entries + len(words)), strict=True))
-        self.first = _put(self.first, self.entries, self.filled + np.cumsum(counts) - counts)
-        self.count = _put(self.count, self.entries, counts)
-        self.ids = _put(self.ids, self.filled, np.array(ids, np.uint32))
+        self.first = put(self.first, self.entries, self.filled + np.cumsum(counts) - counts)
+        self.count = put(self.count, self.entries, counts)
+        self.ids = put(self.ids, self.filled, np.array(ids, np.uint32))
         self.entries += len(words)
         self.filled += len(ids)
 
