@@ -73,6 +73,10 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _unit(found: np.ndarray) -> np.ndarray:
+    return found.astype(np.float32) / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1)).astype(np.float32)
+
+
 def fit(found: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nyström kernel ridge regression; the first rows of each language, turn by turn, are the landmarks."""
     languages = tuple(sorted(set(labels)))
@@ -84,11 +88,12 @@ def fit(found: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
         turn.append((seen.get(label, 0), label, i))
         seen[label] = seen.get(label, 0) + 1
     marks = [i for _, _, i in sorted(turn)[:landmarks]]
-    unit = found.astype(np.float32)
-    unit /= np.sqrt(np.maximum(found.sum(1, keepdims=True), 1)).astype(np.float32)
-    at = unit[marks]
+    at = _unit(found[marks])
     inner = (at @ at.T).astype(np.float64)
-    z = np.c_[unit @ at.T, np.ones(len(unit), np.float32)].astype(np.float64)
+    # Rows go in parts, as all of them in floats would fill the driver.
+    z = np.ones((len(found), len(marks) + 1))
+    for row in range(0, len(found), _ROWS):
+        z[row : row + _ROWS, :-1] = _unit(found[row : row + _ROWS]) @ at.T
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Each language weighs the same, however many rows it has.
     w = np.array([1.0 / seen[x] for x in labels])[:, None]
@@ -131,8 +136,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
         if any(r["bits"]) and taken.get(r["lang"], 0) < share:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             chosen.append(r)
-    found = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in chosen), np.uint8).reshape(len(chosen), BUCKETS // 8), axis=1).astype(bool)
-    return fit(found, [r["lang"] for r in chosen], landmarks)
+    labels = [r["lang"] for r in chosen]
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in chosen), np.uint8).reshape(len(chosen), BUCKETS // 8)
+    del got, chosen
+    return fit(np.unpackbits(packed, axis=1).view(bool), labels, landmarks)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
