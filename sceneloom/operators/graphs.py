@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..registry import query, table
+from ..session import checkpointed
 
-#: Bound of recursive plans; the graphs below have 25 nodes.
+#: Bound of the oracles' recursion: the graphs below have 25 nodes.
 DEPTH = 25
 _EDGES = "e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation WHERE n_nationkey % 4 <> 3 UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_regionkey = 2)"
 
@@ -46,11 +49,20 @@ def common_neighbour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.withColumnRenamed("s1", "s2"), "p").where("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("n"))
 
 
-def reach(edges: DataFrame, start: int, depth: int = DEPTH) -> DataFrame:
-    """node, depth: smallest number of steps from start, by a recursive plan that is deduplicated at each step's end."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"WITH RECURSIVE r(node, depth) AS (SELECT {int(start)}, 0 UNION ALL SELECT DISTINCT e.dst, r.depth + 1 FROM r JOIN _edges e ON e.src = r.node WHERE r.depth < {int(depth)}) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def reach(edges: DataFrame, start: int) -> DataFrame:
+    """node, depth: smallest number of steps from start to every node that can be reached.
+
+    Each step joins the last step's nodes with the edges and takes off all nodes seen before; it ends when no new node is
+    found, so a node costs one expansion, and cycles none.
+    """
+    edges = edges.select(F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("dst")).distinct()
+    last = seen = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
+    for step in count(1):
+        new = last.join(edges, "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        last = checkpointed(new.select("node", F.lit(step).alias("depth")))
+        if last.isEmpty():
+            return seen
+        seen = seen.union(last)
 
 
 _REACH = f"r(node, depth) AS (SELECT 1, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < {DEPTH})"

@@ -32,10 +32,13 @@ def extreme_metric_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH r AS (SELECT c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS rn, max(c_acctbal) OVER w - min(c_acctbal) OVER w AS span FROM customer WINDOW w AS (PARTITION BY c_mktsegment)) SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 4) AS gap, round((max(c_acctbal) - min(c_acctbal)) / greatest(max(span), 1e-9), 6) AS normalized_gap FROM r WHERE rn <= 2 GROUP BY c_mktsegment",
 )
 def winner_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap between winner and runner-up, plain and over the span; max_by-style: two aggregates of the two best, no sort of the group."""
-    best = F.slice(F.reverse(F.array_sort(F.collect_list("c_acctbal"))), 1, 2)
-    stats = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(best.alias("b"), (F.max("c_acctbal") - F.min("c_acctbal")).alias("span"))
-    gap = F.col("b")[0] - F.col("b")[1]
+    """Gap between winner and runner-up, plain and over the span, by aggregates that combine on the map side: the runner-up's value is the winner's where several rows have it, else the best below it."""
+    values = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_acctbal").agg(F.count("*").alias("n"))
+    top = values.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("best"), F.max_by("n", "c_acctbal").alias("holders"), (F.max("c_acctbal") - F.min("c_acctbal")).alias("span"))
+    below = values.join(top.select("c_mktsegment", "best"), "c_mktsegment").where("c_acctbal < best").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("second"))
+    stats = top.join(below, "c_mktsegment", "left")
+    # One row alone has no runner-up but itself.
+    gap = F.when(F.col("holders") > 1, F.lit(0.0)).otherwise(F.col("best") - F.coalesce("second", "best"))
     return stats.select("c_mktsegment", F.round(gap, 4).alias("gap"), F.round(gap / F.greatest("span", F.lit(1e-9)), 6).alias("normalized_gap"))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "sceneloom", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -32,3 +33,15 @@ def make_importable(spark: SparkSession) -> None:
     root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed and cut from its lineage, in the shared folder that spark.checkpoint.dir names; one's own folder only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            local = context.master == "local" or context.master.startswith("local[")
+            configured = "file://" + tempfile.mkdtemp(prefix="sceneloom-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sceneloom_checkpoints"
+        context.setCheckpointDir(configured)
+    return df.checkpoint()
