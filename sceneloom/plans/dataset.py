@@ -170,11 +170,11 @@ def _errors(df: DataFrame, condition: Column, code: str, detail: Column | None =
     return df.where(condition).select("instance_id", F.lit(code).alias("error_code"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 
 
-def validate(instances: DataFrame, traces: DataFrame, tasks: DataFrame, requested: DataFrame) -> DataFrame:
+def validate(instances: DataFrame, records: DataFrame, tasks: DataFrame, requested: DataFrame) -> DataFrame:
     """instance_id, error_code, detail of all violations.
 
     instances: instance_id, instance_version, task, prompt_variants (map), answer_type, answer_value, annotation_type, image_path, image_hash,
-    trace_shard, trace_line, trace_hash. traces: shard_id, line_index, trace_record_hash. tasks: task. requested: task, count.
+    record_shard, record_line, own_record_hash. records: shard_id, line_index, record_hash. tasks: task. requested: task, count.
     """
     i = instances
     found = [_errors(i, F.col(c).isNull(), "schema_missing_field", F.lit(c)) for c in ("task", "answer_type", "answer_value", "annotation_type")]
@@ -188,10 +188,10 @@ def validate(instances: DataFrame, traces: DataFrame, tasks: DataFrame, requeste
     found.append(_errors(i, F.coalesce(F.col("image_hash"), F.lit("")) == "", "image_hash_missing"))
     known = tasks.select(F.col("task")).distinct()
     found.append(_errors(i.join(known, "task", "left_anti"), F.lit(True), "config_task_not_registered", F.col("task")))
-    refs = i.join(traces, (F.col("trace_shard") == F.col("shard_id")) & (F.col("trace_line") == F.col("line_index")), "left")
-    found.append(_errors(refs, F.col("trace_shard").isNull(), "trace_ref_missing"))
-    found.append(_errors(refs, F.col("trace_shard").isNotNull() & F.col("shard_id").isNull(), "trace_ref_not_found"))
-    found.append(_errors(refs, F.col("trace_hash") != F.col("trace_record_hash"), "trace_ref_hash_mismatch"))
+    refs = i.join(records, (F.col("record_shard") == F.col("shard_id")) & (F.col("record_line") == F.col("line_index")), "left")
+    found.append(_errors(refs, F.col("record_shard").isNull(), "record_ref_missing"))
+    found.append(_errors(refs, F.col("record_shard").isNotNull() & F.col("shard_id").isNull(), "record_ref_not_found"))
+    found.append(_errors(refs, F.col("own_record_hash") != F.col("record_hash"), "record_ref_hash_mismatch"))
     counts = i.groupBy("task").agg(F.count("*").alias("made")).join(requested, "task", "full")
     none = F.lit(None).cast("string").alias("instance_id")
     found.append(counts.where("coalesce(made, 0) < count").select(none, F.lit("count_per_task_shortfall").alias("error_code"), F.col("task").alias("detail")))

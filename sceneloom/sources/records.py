@@ -1,4 +1,4 @@
-"""Trace shards as compressed JSON lines: a Python data source for reading, a sink that hands out references.
+"""Record shards as compressed JSON lines: a Python data source for reading, a sink that hands out references.
 
 Spark's own zstd codec for text isn't in every build, so .jsonl.zst files are read as binary by Spark's file reader (any store
 that Spark reads) and unpacked on the executors, a chunk at a time.
@@ -28,8 +28,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_trace_shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard_id, line_index, record (JSON text), trace_record_hash of every line of the .jsonl.zst files below path."""
+def read_record_shards(spark: SparkSession, path: str) -> DataFrame:
+    """shard_id, line_index, record (JSON text), record_hash of every line of the .jsonl.zst files below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.zst").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,15 +46,15 @@ def read_trace_shards(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["shard_id", "line_index", "record"])
 
-    return files.mapInArrow(lines, "shard_id string, line_index bigint, record string").withColumn("trace_record_hash", F.sha2("record", 256))
+    return files.mapInArrow(lines, "shard_id string, line_index bigint, record string").withColumn("record_hash", F.sha2("record", 256))
 
 
-def with_trace_refs(records: DataFrame, order: list[str], per_shard: int = 1000, record: str = "record") -> DataFrame:
-    """records with shard_id, line_index and trace_record_hash; a shard holds the rows of one hash lane in order, so no task numbers all rows."""
+def with_record_refs(records: DataFrame, order: list[str], per_shard: int = 1000, record: str = "record") -> DataFrame:
+    """records with shard_id, line_index and record_hash; a shard holds the rows of one hash lane in order, so no task numbers all rows."""
     lane = F.pmod(F.xxhash64(*order), F.lit(per_shard))
     w = Window.partitionBy("_lane").orderBy(*order)
     numbered = records.withColumn("_lane", lane).withColumn("line_index", (F.row_number().over(w) - 1).cast("long"))
-    return numbered.withColumn("shard_id", F.format_string("trace_shard_%04d", "_lane")).withColumn("trace_record_hash", F.sha2(F.col(record), 256)).drop("_lane")
+    return numbered.withColumn("shard_id", F.format_string("record_shard_%04d", "_lane")).withColumn("record_hash", F.sha2(F.col(record), 256)).drop("_lane")
 
 
 def pack(lines: list[str]) -> bytes:

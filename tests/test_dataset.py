@@ -13,7 +13,7 @@ from sceneloom.functions import kernels, scalar
 from sceneloom.joins import asof_join, present_in_every, range_join
 from sceneloom.operators.simulation import life_step, pop_run, run_lengths, slide
 from sceneloom.plans import dataset
-from sceneloom.sources.traces import SceneSource, pack, pack_shards, read_jsonl, read_trace_shards, with_trace_refs
+from sceneloom.sources.records import SceneSource, pack, pack_shards, read_jsonl, read_record_shards, with_record_refs
 from sceneloom.streaming import scores
 
 
@@ -57,20 +57,20 @@ def test_contracts_and_sanitising(spark):
 
 
 def instances(spark):
-    good = {"instance_id": "a", "instance_version": "v0", "task": "t1", "prompt_variants": {str(i): "p" for i in range(5)}, "answer_type": "integer", "answer_value": "1", "annotation_type": "bbox", "image_path": "images/a.png", "image_hash": "h", "trace_shard": "s", "trace_line": 0, "trace_hash": "x"}
-    bad = good | {"instance_id": "b", "prompt_variants": {"1": "has {slot}"}, "annotation_type": "odd", "image_path": "/tmp/x.png", "image_hash": None, "task": "t9", "trace_line": 7, "instance_version": "v9", "answer_value": None}
-    schema = "instance_id string, instance_version string, task string, prompt_variants map<string,string>, answer_type string, answer_value string, annotation_type string, image_path string, image_hash string, trace_shard string, trace_line bigint, trace_hash string"
+    good = {"instance_id": "a", "instance_version": "v0", "task": "t1", "prompt_variants": {str(i): "p" for i in range(5)}, "answer_type": "integer", "answer_value": "1", "annotation_type": "bbox", "image_path": "images/a.png", "image_hash": "h", "record_shard": "s", "record_line": 0, "own_record_hash": "x"}
+    bad = good | {"instance_id": "b", "prompt_variants": {"1": "has {slot}"}, "annotation_type": "odd", "image_path": "/tmp/x.png", "image_hash": None, "task": "t9", "record_line": 7, "instance_version": "v9", "answer_value": None}
+    schema = "instance_id string, instance_version string, task string, prompt_variants map<string,string>, answer_type string, answer_value string, annotation_type string, image_path string, image_hash string, record_shard string, record_line bigint, own_record_hash string"
     return spark.createDataFrame([Row(**good), Row(**bad)], schema)
 
 
 def test_validation(spark):
-    traces = spark.createDataFrame([("s", 0, "y")], "shard_id string, line_index bigint, trace_record_hash string")
+    records = spark.createDataFrame([("s", 0, "y")], "shard_id string, line_index bigint, record_hash string")
     tasks = spark.createDataFrame([("t1",), ("t2",)], "task string")
     requested = spark.createDataFrame([("t1", 1), ("t2", 3)], "task string, count bigint")
-    found = {(r["instance_id"], r["error_code"]) for r in dataset.validate(instances(spark), traces, tasks, requested).collect()}
+    found = {(r["instance_id"], r["error_code"]) for r in dataset.validate(instances(spark), records, tasks, requested).collect()}
     assert found == {
-        ("a", "trace_ref_hash_mismatch"),
-        *(("b", c) for c in ("schema_missing_field", "schema_unsupported_type", "version_unsupported_instance_version", "prompt_variant_count_mismatch", "prompt_unresolved_placeholder", "image_path_not_relative", "image_hash_missing", "config_task_not_registered", "trace_ref_not_found")),
+        ("a", "record_ref_hash_mismatch"),
+        *(("b", c) for c in ("schema_missing_field", "schema_unsupported_type", "version_unsupported_instance_version", "prompt_variant_count_mismatch", "prompt_unresolved_placeholder", "image_path_not_relative", "image_hash_missing", "config_task_not_registered", "record_ref_not_found")),
         *((None, c) for c in ("version_mixed_instance_version", "count_per_task_shortfall", "count_unexpected_task_present")),
     }
 
@@ -90,11 +90,11 @@ def test_reproduction_and_export(spark, tmp_path):
     assert sorted(digests) == sorted(again) and sum(r["rows"] for r in digests) == 200
 
 
-def test_trace_files(spark, tmp_path):
-    (tmp_path / "trace_shard_0001.jsonl.zst").write_bytes(pack(['{"a":1}', "", '{"a":2}']))
-    got = read_trace_shards(spark, str(tmp_path)).orderBy("line_index").collect()
-    assert [(r["shard_id"], r["line_index"], r["record"]) for r in got] == [("trace_shard_0001", 0, '{"a":1}'), ("trace_shard_0001", 1, '{"a":2}')]
-    refs = with_trace_refs(spark.range(50).select("id", F.concat(F.lit("r"), "id").alias("record")), ["id"], 4)
+def test_record_files(spark, tmp_path):
+    (tmp_path / "record_shard_0001.jsonl.zst").write_bytes(pack(['{"a":1}', "", '{"a":2}']))
+    got = read_record_shards(spark, str(tmp_path)).orderBy("line_index").collect()
+    assert [(r["shard_id"], r["line_index"], r["record"]) for r in got] == [("record_shard_0001", 0, '{"a":1}'), ("record_shard_0001", 1, '{"a":2}')]
+    refs = with_record_refs(spark.range(50).select("id", F.concat(F.lit("r"), "id").alias("record")), ["id"], 4)
     assert refs.select("shard_id", "line_index").distinct().count() == 50
     assert pack_shards(refs).count() == refs.select("shard_id").distinct().count()
     assert read_jsonl(spark, str(tmp_path / "none"), "a bigint").count() == 0
