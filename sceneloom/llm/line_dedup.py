@@ -73,10 +73,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost_here = F.coalesce(F.col("_lost"), F.array().cast("array<string>"))
 
     def keep(chunks: Column) -> Column:
-        fresh = F.when(F.size(F.array_distinct(chunks)) == F.size(chunks), chunks).otherwise(
-            F.filter(chunks, lambda c, i: (F.array_position(chunks, c) == i + 1) | ~_is_multi(c, min_lines))
-        )
-        return F.when(F.size(lost_here) == 0, fresh).otherwise(F.filter(fresh, lambda c: ~F.array_contains(lost_here, c)))
+        """Chunks and lost chunks are sorted together, lost ones first: what has an equal before it goes, if it has several lines."""
+        marked = F.concat(F.transform(lost_here, lambda c: F.struct(c.alias("c"), F.lit(-1).alias("i"))), F.transform(chunks, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
+
+        def judged(s: Column) -> Column:
+            again = F.transform(s, lambda e, k: F.struct(e["i"].alias("i"), e["c"].alias("c"), F.when(k == 0, False).otherwise(F.element_at(s, F.greatest(k, F.lit(1)))["c"] == e["c"]).alias("again")))
+            stay = F.filter(again, lambda e: (e["i"] >= 0) & ~F.when(e["again"], _is_multi(e["c"], min_lines)).otherwise(F.lit(False)))
+            return F.transform(F.sort_array(stay), lambda e: e["c"])
+
+        untouched = (F.size(lost_here) == 0) & (F.size(F.array_distinct(chunks)) == F.size(chunks))
+        return F.when(untouched, chunks).otherwise(let(F.sort_array(marked), judged))
 
     parts = let(chunks_of(F.coalesce(text, F.lit("")), window, divisor), lambda c: F.struct(F.size(c).alias("n"), keep(c).alias("kept")))
     out = joined.withColumn("_p", parts)
