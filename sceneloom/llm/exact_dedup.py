@@ -115,9 +115,10 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = staged(rows.mapInArrow(_fingerprints, _SCHEMA), "exact-prints")
     key = ["fp1", "fp2", "n_bytes"]
     several = prints.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = prints.join(several, key, "left_semi").select("doc_id", *key).distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("_id"), text_or_empty(docs, text_col).alias("text"))
-    suspects = texts.join(members, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", *key)
+    members = prints.join(several, key, "left_semi").select("doc_id", "n_chars", *key).distinct()
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.length(text_or_empty(docs, text_col)).cast("long").alias("_n"), text_or_empty(docs, text_col).alias("text"))
+    # The length keeps rows without an id from meeting each other all.
+    suspects = texts.join(members, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_n") == F.col("n_chars"))).select("text", *key)
     chunks = suspects.mapInArrow(_chunks, "fp1 bigint, fp2 bigint, n_bytes bigint, chunk_no bigint, chunk binary")
     distinct = chunks.groupBy(*key, "chunk_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     unequal = distinct.groupBy(*key, "chunk_no").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(key).distinct().withColumn("part", F.lit(True))
