@@ -19,6 +19,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -44,17 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: cuts the lineage in a way that survives lost executors."""
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it back: cuts the lineage in a way that survives lost executors.
+
+    batch_rows: rows that Python workers are handed at once while it is written, for rows that are long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sceneloom/{name}-{uuid.uuid4().hex}"
     # What was shuffled for the write is of no use after it.
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     _staged.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path

@@ -242,7 +242,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             named = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
             read = staged(bodies.join(named, "sid", "left_semi"), "jaccard-bodies")
         run, schema = _compare(k, percent, shared)
-        compared = staged(_with_texts(pairs, read).mapInArrow(run, schema), "jaccard-compared")
+        compared = staged(_with_texts(pairs, read).mapInArrow(run, schema), "jaccard-compared", 256)
         if turn:
             drop_staged(read)
         links.append(compared.where("NOT star").select(F.col("x").alias("a"), F.col("hub").alias("b")))
