@@ -299,3 +299,43 @@ def test_every_place_of_a_passage_is_found(spark):
     assert covered[1] == {*range(30, 90), *range(100, 160), *range(215, 275)}
     assert covered[2] == {*range(15, 155), *range(235, 305)}
     assert not covered[3] and not covered[4]
+
+
+def linked_after(base, *runs):
+    """base with each run of words (first, n) replaced."""
+    out = list(base)
+    for first, n in runs:
+        out[first : first + n] = [f"r{first}_{i}" for i in range(n)]
+    return out
+
+
+def test_promising_lets_edits_stand_together(spark):
+    """Of 91 words the middle four, or of 85 three, are others (Jaccard 0.83): no 46 tokens around them share nine tenths."""
+    rng = random.Random(21)
+    texts, expected = [], set()
+    for n, edit in [(91, 4), (85, 3), (90, 3)] * 4:
+        passage = words(rng, n)
+        expected.add(frozenset((len(texts), len(texts) + 1)))
+        texts += [" ".join(words(rng, 30) + w + words(rng, 30)) for w in (passage, linked_after(passage, (n // 2 - edit // 2, edit)))]
+    rows = repeated_passages(table(spark, texts)).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in rows} == expected
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_passages_with_partners_are_compared_too(spark, monkeypatch, small):
+    """Eight edited copies of one passage in a line: those up to two steps apart are near, the others aren't; no link that joins them is left out."""
+    from sceneloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "SMALL", small)
+    rng = random.Random(22)
+    base = words(rng, 150)
+    chain = [linked_after(base, *((8 + 15 * j, 4) for j in range(i))) for i in range(9)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in chain]
+    near = {(i, j) for i, j in itertools.combinations(range(9), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    rows = repeated_passages(table(spark, [" ".join(w) for w in chain])).collect()
+    linked = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in rows}
+    assert near <= {(a, b) for a, b in linked} if small > 1 else {a for pair in linked for a in pair} == set(range(9))
+    up = list(range(9))
+    for a, b in sorted(linked):
+        up = [up[a] if u == up[b] else u for u in up]
+    assert len(set(up)) == 1
