@@ -4,7 +4,7 @@ Equal sets are one class from the start. The tokens of a set are put in one orde
 is that of hash cells counted over the whole corpus, so that the order needs a table of fixed size. Two sets that
 are similar enough share a token among their first n - ceil(t * n) + 1, so only these prefixes are joined. A bucket is the
 sets that share a prefix token. Pairs of small buckets pass the length, positional and suffix filters and are
-verified once, on the whole sets.
+verified once, on the whole sets. Prefix tokens that only one set has, which are most, are found before and aren't shuffled.
 
 The sets of a large bucket aren't paired with each other. They are held against the bucket's hub, its most
 connected set, and of each only the difference D from the hub is kept. With c = (1 - t) / (1 + t), two sets x, y link where
@@ -21,6 +21,7 @@ link with those close to a hub. No link between components is lost; within a sta
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import count
 
@@ -30,9 +31,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged, text_or_empty
+from .common import drop_staged, ranges_for, staged, text_or_empty
 from .components import connected_components
 from .shingles import shingle_set
+from .substring_dedup import COUNT_BITS, elsewhere, pack_sorted, range_cuts
 
 CELL_BITS = 20
 BLOCK_BITS = 14
@@ -48,8 +50,10 @@ SMALL_LATER = 32
 TURNS = 2
 #: Bits of the bitmap filter, in words of 64.
 MASK_WORDS = 8
-#: Largest distance from a hub (1 - Jaccard) at which a set's difference from it is kept, in percent.
-KIN = 50
+#: Distance from a hub (1 - Jaccard), in percent, up to which a set has met all its partners around it: the differences of sets are kept up to this and the distance at which two link.
+INNER = 35
+#: Prefix tokens in a block.
+BLOCK_TOKENS = 1 << 19
 _FAN_IN = 256
 
 
@@ -141,31 +145,99 @@ def ordered_prefix(tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.nd
 
 
 def _prefixes(k: int, percent: int, shared):
+    """The prefixes of about BLOCK_TOKENS tokens in one compressed row."""
+    names = ["block", "n", "tokens", "sets"]
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+
+    def block(prefixes: list[np.ndarray], sets: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        tokens = np.concatenate(prefixes)
+        row = [uuid.uuid4().hex, len(tokens), tokens.tobytes(), zstandard.ZstdCompressor(level=1).compress(np.array(sets, "<i8").tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = shared.value, set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                token, sid, size, place = [], [], [], []
-                for value in whole.column("text").slice(at, 2048):
-                    tokens = shingle_set(value.as_buffer().to_pybytes(), k)
-                    name = set_id(tokens)
-                    # A set that this task has had already gives no rows again; forgetting some only repeats rows.
-                    if name is None or name in seen:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(name)
-                    prefix = ordered_prefix(tokens, ranks, percent)
-                    token.append(prefix.view(np.int64))
-                    sid.append(np.full(len(prefix), name, np.int64))
-                    size.append(np.full(len(prefix), len(tokens), np.int32))
-                    place.append(np.arange(len(prefix), dtype=np.int32))
-                if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, sid, size, place)], names=["token", "sid", "n", "pos"])
+        prefixes, sets, held = [], [], 0
+        for batch in batches:
+            for value in batch.column("text"):
+                tokens = shingle_set(value.as_buffer().to_pybytes(), k)
+                name = set_id(tokens)
+                # A set that this task has had already gives no rows again; forgetting some only repeats rows.
+                if name is None or name in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                prefix = ordered_prefix(tokens, ranks, percent)
+                prefixes.append(prefix)
+                sets.append((name, len(tokens), len(prefix)))
+                held += len(prefix)
+                if held >= BLOCK_TOKENS:
+                    yield block(prefixes, sets)
+                    prefixes, sets, held = [], [], 0
+        if sets:
+            yield block(prefixes, sets)
+
+    return run, "block string, n int, tokens binary, sets binary"
+
+
+def _sent(ranges: int):
+    """The distinct tokens of each block, by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("block").to_pylist(), batch.column("tokens"), strict=True):
+                kinds = np.unique(np.frombuffer(body.as_buffer(), "<u8") >> np.uint64(64 - COUNT_BITS))
+                cuts = range_cuts(kinds, ranges)
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                parts = [kinds[cuts[i] : cuts[i + 1]] for i in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used)), pa.array(list(map(len, parts)), pa.int32()), pa.array(list(map(pack_sorted, parts)), pa.binary())], names=["range", "block", "n", "tokens"])
+
+    return run, "range int, block string, n int, tokens binary"
+
+
+def _met(ranges: int):
+    """token, sid, n, pos of the blocks' tokens that another block, or another set of the same one, may have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for body, packed, replies in zip(batch.column("tokens"), batch.column("sets"), batch.column("replies"), strict=True):
+                tokens = np.frombuffer(body.as_buffer(), "<u8")
+                sid, size, length = np.frombuffer(unpack(packed.as_buffer()), "<i8").reshape(-1, 3).T
+                values, which, counts = np.unique(tokens >> np.uint64(64 - COUNT_BITS), return_inverse=True, return_counts=True)
+                flags, cuts = counts > 1, range_cuts(values, ranges)
+                for reply in replies.as_py() or []:
+                    a, b = int(cuts[reply["range"]]), int(cuts[reply["range"] + 1])
+                    flags[a:b] |= np.unpackbits(np.frombuffer(reply["bits"], np.uint8), count=b - a).astype(bool)
+                at = np.flatnonzero(flags[which])
+                owner = np.repeat(np.arange(len(sid)), length)[at]
+                place = at - (np.cumsum(length) - length)[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tokens[at].view(np.int64), sid[owner], size[owner].astype(np.int32), place.astype(np.int32))], names=["token", "sid", "n", "pos"])
 
     return run, "token bigint, sid bigint, n int, pos int"
 
 
+def _live(texts: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """token, sid, n, pos: the staged prefix tokens that two sets or more have, once for each set.
+
+    Most tokens of prefixes stand in one set only. They go no farther than to a hash range, in sorted and packed numbers, from which a bit for each comes back.
+    """
+    run, schema = _prefixes(k, percent, shared)
+    blocks = staged(texts.select("text").mapInArrow(run, schema), "jaccard-prefixes")
+    ranges = ranges_for(texts, 8)
+    run, schema = _sent(ranges)
+    # Tokens are hashes and each block has them once, so that ranges are even whatever the texts repeat.
+    replies = staged(blocks.mapInArrow(run, schema).groupBy("range").applyInArrow(elsewhere, "block string, range int, bits binary"), "jaccard-replies")
+    answered = blocks.join(replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("replies")), "block", "left").select("tokens", "sets", "replies")
+    run, schema = _met(ranges)
+    met = staged(answered.mapInArrow(run, schema), "jaccard-met", 8)
+    drop_staged(blocks, replies)
+    buckets = met.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
+    live = staged(met.join(buckets, "token").distinct(), "jaccard-live")
+    drop_staged(met)
+    return live
+
+
 def _own_text(k: int):
     """Keeps the rows whose text has the set that sid names; where an id is repeated or null there are others."""
 
@@ -214,11 +286,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     profiles = staged(texts.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(run, schema), "jaccard-profiles")
     base = profiles.where("block IS NULL").select("doc_id", "n", "sid")
     shared = spark.sparkContext.broadcast(rarity(profiles.where("block IS NOT NULL").select("block", "task", "counts")))
-    run, schema = _prefixes(k, percent, shared)
-    prefixes = staged(texts.select("text").mapInArrow(run, schema), "jaccard-prefixes")
-    buckets = prefixes.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
-    live = staged(prefixes.join(buckets, "token").distinct(), "jaccard-live")
-    drop_staged(prefixes)
+    live = _live(texts, k, percent, shared)
     chosen = staged(_chosen(profiles, live), "jaccard-sets")
     bodies, links, state = None, [], live
     for turn in count():
@@ -230,7 +298,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         more = bool(many.take(1))
         if more:
             dealt = staged(_dealt(many, 2 ** max(0, turn - turns + 1)), "jaccard-dealt")
-            stars = _bounded(dealt.select(F.col("sid").alias("x"), F.col("hub").alias("y")).distinct(), chosen, 100 - KIN)
+            stars = _bounded(dealt.select(F.col("sid").alias("x"), F.col("hub").alias("y")).distinct(), chosen, percent - INNER)
             pairs = pairs.unionByName(stars.withColumn("star", F.lit(True)))
         pairs = staged(pairs, "jaccard-pairs")
         if bodies is None:
@@ -314,7 +382,7 @@ def _compare(k: int, percent: int, shared):
     """Plain pairs that link, as rows (x, hub); of stars how far x is from its hub, and the tokens that only one of them has, rare first, with their bitmap."""
     names = ["x", "hub", "star", "nx", "nh", "nd", "kin", "inner", "tokens", *_masks()]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * MASK_WORDS]
-    inner = KIN - (100 - percent)
+    most = INNER + 100 - percent
 
     def row(x: int, y: int, star: bool, own: np.ndarray, kept: np.ndarray, ranks: np.ndarray) -> tuple | None:
         if not star:
@@ -322,12 +390,12 @@ def _compare(k: int, percent: int, shared):
             return (x, y, star, *[None] * (len(names) - 3)) if 100 * common >= percent * (len(own) + len(kept) - common) else None
         apart = np.setxor1d(own, kept, assume_unique=True)
         union = (len(own) + len(kept) + len(apart)) // 2
-        kin = 100 * len(apart) <= KIN * union
+        kin = 100 * len(apart) <= most * union
         if not kin:
             return (x, y, star, len(own), len(kept), len(apart), False, False, None, *[None] * MASK_WORDS)
         rank = ranks[(apart & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)]
         tokens = apart[np.lexsort((apart, rank))].view(np.int64)
-        return (x, y, star, len(own), len(kept), len(apart), True, 100 * len(apart) <= inner * union, tokens, *np.frombuffer(bitmap(apart, 64 * MASK_WORDS), "<i8").tolist())
+        return (x, y, star, len(own), len(kept), len(apart), True, 100 * len(apart) <= INNER * union, tokens, *np.frombuffer(bitmap(apart, 64 * MASK_WORDS), "<i8").tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, last, kept = shared.value, None, None

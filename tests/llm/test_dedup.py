@@ -339,3 +339,33 @@ def test_passages_with_partners_are_compared_too(spark, monkeypatch, small):
     for a, b in sorted(linked):
         up = [up[a] if u == up[b] else u for u in up]
     assert len(set(up)) == 1
+
+
+def test_jaccard_join_moves_only_tokens_that_two_sets_have(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [" ".join(words(rng, 100)) for _ in range(60)] + near_copies(rng, words(rng, 100), 3, 3)
+    rows, keep = {}, jaccard_join.staged
+
+    def spy(df, name, *more):
+        out = keep(df, name, *more)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(table(spark, texts), 5, 80).collect()}
+    assert got == naive_components(texts, range(len(texts)), 5, 80)
+    # Prefixes have 20 tokens or so.
+    assert max(rows[n] for n in rows if n in ("jaccard-prefixes", "jaccard-met", "jaccard-live")) <= 3 * 25
+
+
+def test_jaccard_join_nearly_linked_sets_need_one_hub(spark, monkeypatch):
+    """Copies of a template with edits of their own that are a third apart from each other meet around the first hub, not around hubs that double."""
+    rng = random.Random(24)
+    template = words(rng, 400)
+    texts = [" ".join(w if j % 100 >= 2 or j // 100 != i % 4 else f"x{i}_{j}" for j, w in enumerate(linked_after(template, *((25 + 50 * j + i % 7, 5) for j in range(7))))) for i in range(28)]
+    texts = [" ".join(f"e{i}_{j}" if j % 26 == i % 3 and j else w for j, w in enumerate(template)) for i in range(60)] + texts
+    turns, keep = [], jaccard_join._around_hubs
+    monkeypatch.setattr(jaccard_join, "_around_hubs", lambda around, percent: turns.append(around.count()) or keep(around, percent))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(table(spark, texts), 5, 80).collect()}
+    assert got == naive_components(texts, range(len(texts)), 5, 80)
+    assert len(turns) <= 2 and sum(turns) <= 4 * len(texts), turns
