@@ -14,7 +14,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ class WaveletMatrix:
             sums = np.r_[counts, np.zeros(-len(counts) % (_BLOCK // 8), np.int64)].reshape(-1, _BLOCK // 8).sum(1)
             blocks.append(np.r_[0, np.cumsum(sums)])
             zeros.append(len(ids) - int(counts.sum()))
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([now[np.flatnonzero(~ones)], now[np.flatnonzero(ones)]])
         return cls(len(ids), bits, planes, blocks, zeros)
 
     def _rank1(self, plane: int, i: int) -> int:
@@ -122,8 +124,9 @@ class WaveletMatrix:
         for p in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.plane(p), count=self.n, bitorder="little").astype(bool)
             up = np.empty(self.n, kind)
-            up[~ones] = now[: self.zeros[p]]
-            up[ones] = now[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
+            # Places are much quicker than masks for bits without order.
+            up[np.flatnonzero(~ones)] = now[: self.zeros[p]]
+            up[np.flatnonzero(ones)] = now[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
             now = up
         return now
 
@@ -159,6 +162,8 @@ _QUICK_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type
 _QUICK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _QUICK_WORD = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017e]*")
+#: Letters whose small form is one letter, with punctuation behind them that holds no apostrophe: the splitting makes a piece of each part.
+_LETTERS_AND_TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@[-`{-~]*)")
 
 
 def byte_symbols() -> list[str]:
@@ -200,39 +205,41 @@ class WordEncoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.pattern = regex.compile(_QUICK_PATTERN)
         self.symbols = dict(enumerate(byte_symbols()))
+        self.tokenize = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        # Ids as the bytes of 32-bit numbers: small, and the garbage collector need not visit them.
+        self.pieces: dict[str, bytes] = {}
         # Entry 0 is the end of a document. The arrays grow by doubling.
         self.entries = self.filled = 1
         self.ids, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one run without white space."""
+    def word(self, text: str) -> bytes:
+        """Ids of one run without white space, as the bytes of 32-bit numbers."""
+        if self.quick and (parts := _LETTERS_AND_TAIL.fullmatch(text)):
+            letters, tail = parts.groups()
+            letters = letters.lower()
+            ids = self.pieces.get(letters) or self._piece(letters)
+            return ids + (self.pieces.get(tail) or self._piece(tail)) if tail else ids
         if not (self.quick and _QUICK_WORD.fullmatch(text)) or (self.added and self.added.search(text)):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.pattern.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            out += ids
-        return out
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.pieces.get(piece) or self._piece(piece) for piece in self.pattern.findall(text.lower())])
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+        ids = self.pieces[piece] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        counts, ids = [], []
-        for word in words:
-            one = self.word(word.decode())
-            counts.append(len(one))
-            ids += one
-        counts = np.array(counts, np.int64)
+        found = [self.word(word.decode()) for word in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.known.update(zip(words, range(self.entries, self.entries + len(words)), strict=True))
         self.first = put(self.first, self.entries, self.filled + np.cumsum(counts) - counts)
         self.count = put(self.count, self.entries, counts)
-        self.ids = put(self.ids, self.filled, np.array(ids, np.uint32))
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        self.ids = put(self.ids, self.filled, ids)
         self.entries += len(words)
         self.filled += len(ids)
 
@@ -280,10 +287,12 @@ class WordEncoder:
             # Two runs have one hash: here all are told apart by their bytes alone.
             words, which = np.unique(np.array([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_inverse=True)
             words = words.tolist()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        entry = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(self.entries, self.entries + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        entry = place[which]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         words_before = np.searchsorted(starts, np.cumsum(lengths + 1) - 1)
         entry = np.insert(entry, words_before, 0)
@@ -300,10 +309,12 @@ def _same_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray, model: np.nda
     if not np.array_equal(lengths, lengths[model]):
         return False
     flat = np.frombuffer(data, np.uint8)
+    others = np.flatnonzero(starts != starts[model])
+    starts, moved, lengths = starts[others], (starts[model] - starts)[others], lengths[others]
     begins = np.cumsum(lengths) - lengths
-    total = int(lengths.sum())
-    own = np.arange(total) + np.repeat(starts - begins, lengths)
-    return np.array_equal(flat[own], flat[own + np.repeat(starts[model] - starts, lengths)])
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    own = np.arange(int(lengths.sum()), dtype=kind) + np.repeat((starts - begins).astype(kind), lengths)
+    return np.array_equal(flat[own], flat[own + np.repeat(moved.astype(kind), lengths)])
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}

@@ -119,6 +119,23 @@ def test_runs_with_equal_hashes_and_special_tokens(monkeypatch):
     assert split(WordEncoder(WORDS).encode(texts, 1)) == expected
 
 
+def test_letters_with_punctuation_are_split_without_a_pattern():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(WORDS), WordEncoder(WORDS)
+    letters = [chr(c) for c in range(0x21, 0x180) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    odd = ["don't,", "it's", "a1.", "x_y", "\u0130stanbul!", "e\u0301t\u00e9.", "\u212a.", "n\u00aa.", "a\u00d7b", "<|endoftext|>", "end<|endoftext|>", "..."]
+    texts = [*letters, *(f"Wort{c}{m}" for c in letters for m in marks), *(f"Ende{m}{m}.{m}" for m in marks), *odd]
+    ids, sizes = encoder.encode([t.encode() for t in texts], 1)
+    for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+    # Most words of any corpus; the pattern takes longer than all the rest of such a word.
+    encoder.pattern = None
+    encoder._forget()
+    assert encoder.encode(["Größe,".encode(), "Éclair...".encode()], 1)[1].tolist() == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in ("Größe,", "Éclair...")]
+
+
 def test_shards_end_by_document(spark):
     from sceneloom.llm.token_files import token_occurrences
 
