@@ -369,3 +369,22 @@ def test_jaccard_join_nearly_linked_sets_need_one_hub(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(table(spark, texts), 5, 80).collect()}
     assert got == naive_components(texts, range(len(texts)), 5, 80)
     assert len(turns) <= 2 and sum(turns) <= 4 * len(texts), turns
+
+
+def test_verification_of_a_pair_uses_no_general_set_operation(monkeypatch):
+    import numpy as np
+
+    from sceneloom.llm.substring_dedup import distinct, match, within
+
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (5, 0), (40, 40), (300, 20)):
+        a, b = (rng.integers(0, 50, size).astype(np.uint64) for size in (n, m))
+        assert distinct(a).tolist() == np.unique(a).tolist()
+        assert within(a, np.sort(b)).tolist() == np.isin(a, b).tolist()
+    x = rng.integers(1, 1 << 62, 120).astype(np.uint64)
+    y = np.r_[rng.integers(1, 1 << 62, 30).astype(np.uint64), x[10:110]]
+    y[75:80] = 0
+    # Hundreds of thousands of pairs are verified one by one, and these take longer than all the rest.
+    for name in ("isin", "unique", "intersect1d"):
+        monkeypatch.setattr(np, name, None)
+    assert match(x, y, [(30, 10, 109, 50, 30, 129)], 46, 0.8) == [(10, 109, 30, 129, 95 / 101)]
