@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, text_or_empty
+from .common import kept, put, text_or_empty, tidy
 
 #: Pieces that a worker remembers; beyond it the memory starts anew. It changes speed only.
 REMEMBERED = 400_000
@@ -172,14 +172,12 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], MergeReplay] = {}
-
-
 def codec(path: str, pattern: str) -> MergeReplay:
-    """The vocabulary, read once per worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = MergeReplay(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    """The vocabulary, read once per worker, or again when other operators had it meanwhile."""
+    codecs = kept(__name__)
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = MergeReplay(read_ranks(path), pattern)
+    return codecs[path, pattern]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +199,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), arrays, pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run, __name__), "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +215,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run, __name__), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

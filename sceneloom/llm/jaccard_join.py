@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, ranges_for, staged, text_or_empty
+from .common import drop_staged, ranges_for, staged, text_or_empty, tidy
 from .components import connected_components
 from .shingles import shingle_set
 from .substring_dedup import COUNT_BITS, elsewhere, pack_sorted, range_cuts
@@ -223,14 +223,14 @@ def _live(texts: DataFrame, k: int, percent: int, shared) -> DataFrame:
     Most tokens of prefixes stand in one set only. They go no farther than to a hash range, in sorted and packed numbers, from which a bit for each comes back.
     """
     run, schema = _prefixes(k, percent, shared)
-    blocks = staged(texts.select("text").mapInArrow(run, schema), "jaccard-prefixes")
+    blocks = staged(texts.select("text").mapInArrow(tidy(run), schema), "jaccard-prefixes")
     ranges = ranges_for(texts, 8)
     run, schema = _sent(ranges)
     # Tokens are hashes and each block has them once, so that ranges are even whatever the texts repeat.
-    replies = staged(blocks.mapInArrow(run, schema).groupBy("range").applyInArrow(elsewhere, "block string, range int, bits binary"), "jaccard-replies")
+    replies = staged(blocks.mapInArrow(tidy(run), schema).groupBy("range").applyInArrow(elsewhere, "block string, range int, bits binary"), "jaccard-replies")
     answered = blocks.join(replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("replies")), "block", "left").select("tokens", "sets", "replies")
     run, schema = _met(ranges)
-    met = staged(answered.mapInArrow(run, schema), "jaccard-met", 8)
+    met = staged(answered.mapInArrow(tidy(run), schema), "jaccard-met", 8)
     drop_staged(blocks, replies)
     buckets = met.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
     live = staged(met.join(buckets, "token").distinct(), "jaccard-live")
@@ -269,7 +269,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good = pa.array((100 + percent) * common >= percent * total)
                 yield pa.RecordBatch.from_arrays([batch.column("x").filter(good), batch.column("y").filter(good)], names=["x", "y"])
 
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "rx", "ry", "bx", "by").mapInArrow(bound, "x bigint, y bigint")
+    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "rx", "ry", "bx", "by").mapInArrow(tidy(bound), "x bigint, y bigint")
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS) -> DataFrame:
@@ -283,7 +283,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     run, schema = _profiles(k)
-    profiles = staged(texts.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(run, schema), "jaccard-profiles")
+    profiles = staged(texts.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(tidy(run), schema), "jaccard-profiles")
     base = profiles.where("block IS NULL").select("doc_id", "n", "sid")
     shared = spark.sparkContext.broadcast(rarity(profiles.where("block IS NOT NULL").select("block", "task", "counts")))
     live = _live(texts, k, percent, shared)
@@ -310,7 +310,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             named = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
             read = staged(bodies.join(named, "sid", "left_semi"), "jaccard-bodies")
         run, schema = _compare(k, percent, shared)
-        compared = staged(_with_texts(pairs, read).mapInArrow(run, schema), "jaccard-compared", 256)
+        compared = staged(_with_texts(pairs, read).mapInArrow(tidy(run), schema), "jaccard-compared", 256)
         if turn:
             drop_staged(read)
         links.append(compared.where("NOT star").select(F.col("x").alias("a"), F.col("hub").alias("b")))
@@ -347,7 +347,7 @@ def _bodies(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """sid, text: one row for each chosen set."""
     row = chosen.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "sid")
     named = texts.join(row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("sid", "text")
-    bodies = staged(named.mapInArrow(_own_text(k), "sid bigint, text string"), "jaccard-bodies")
+    bodies = staged(named.mapInArrow(tidy(_own_text(k)), "sid bigint, text string"), "jaccard-bodies")
     if bodies.groupBy("sid").count().where("count > 1").take(1):
         # Rows that are repeated with their id, or without one, bring their text several times.
         once = staged(bodies.dropDuplicates(["sid"]), "jaccard-bodies")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 MAX_N = 4
 BUCKETS = 1 << 14
@@ -128,7 +128,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
                 yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("doc_id").cast(pa.string()), batch.column("lang"), pa.array(packed, pa.binary())], names=["u", "doc_id", "lang", "bits"])
 
     # 2 * rows rows of BUCKETS bits at most reach the driver.
-    got = sample.mapInArrow(bits, "u bigint, doc_id string, lang string, bits binary").limit(2 * rows).collect()
+    got = sample.mapInArrow(tidy(bits), "u bigint, doc_id string, lang string, bits binary").limit(2 * rows).collect()
     got.sort(key=lambda r: (r["u"], r["doc_id"] or "", r["lang"], bytes(r["bits"])))
     taken: dict[str, int] = {}
     chosen = []
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 languages, scores = shared.value.predict(batch.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"])
 
-    return plain.mapInArrow(run, schema).toDF(*names, "_lang_pred", "_score")
+    return plain.mapInArrow(tidy(run), schema).toDF(*names, "_lang_pred", "_score")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.3) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sceneloom.llm.byte_bpe import MergeReplay, encode_digests, encode_documents, read_ranks
-from sceneloom.llm.common import documents, shared_dir, staged
+from sceneloom.llm.common import documents, kept, shared_dir, staged, tidy
 from sceneloom.llm.fingerprints import compare_with_edits, with_fingerprints
 from sceneloom.llm.language_id import keep_identified, predict_languages, train
 from sceneloom.llm.mixing import fit_counts, knapsack, plan_mix, water_fill
@@ -51,6 +51,38 @@ def test_replay_equals_tiktoken(spark):
     assert encode_digests(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_workers_keep_little_between_tasks():
+    """What a task frees goes back to the system, and the pieces of byte BPE go when another operator's task comes."""
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from sceneloom.llm.byte_bpe import codec
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        for batch in batches:
+            # Small blocks of the C library's heap with a late one behind them, as long tasks leave them.
+            blocks = [np.ones(1 << 13) for _ in range(3000)]
+            last.append(np.ones(1 << 13))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(b) for b in blocks)])], names=["n"])
+
+    last = []
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+    before = held()
+    got = [b.column("n")[0].as_py() for b in tidy(run)(iter([batch]))]
+    assert got == [3000 << 13] and held() < before + 60
+    own = codec(RANKS, public_tokenizers.PATTERN)
+    assert list(tidy(lambda batches: batches, "sceneloom.llm.byte_bpe")(iter([batch]))) == [batch]
+    assert codec(RANKS, public_tokenizers.PATTERN) is own
+    assert list(tidy(lambda batches: batches)(iter([batch]))) == [batch]
+    assert not kept("sceneloom.llm.byte_bpe")
+    assert codec(RANKS, public_tokenizers.PATTERN) is not own
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 700, 5000)
