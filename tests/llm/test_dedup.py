@@ -388,3 +388,50 @@ def test_verification_of_a_pair_uses_no_general_set_operation(monkeypatch):
     for name in ("isin", "unique", "intersect1d"):
         monkeypatch.setattr(np, name, None)
     assert match(x, y, [(30, 10, 109, 50, 30, 129)], 46, 0.8) == [(10, 109, 30, 129, 95 / 101)]
+
+
+def test_filter_of_pairs_keeps_every_passage_and_asks_both_texts():
+    import numpy as np
+
+    from sceneloom.llm.substring_dedup import match, promising
+
+    rng = np.random.default_rng(4)
+    x, y, nodes, others, found = [], [], [], [], []
+    for i in range(300):
+        text = rng.integers(0, 1 << 62, 150).astype(np.uint64)
+        other = np.r_[rng.integers(0, 1 << 62, i % 60).astype(np.uint64), text]
+        for at in rng.integers(0, 150, i % 7):
+            other[i % 60 + at : i % 60 + at + 5] = rng.integers(0, 1 << 62, 5)[: max(0, 150 - at)]
+        same = np.flatnonzero(text == other[i % 60 :])
+        node = int(same[len(same) // 2])
+        found.append(bool(match(text, other, [(node, max(0, node - 45), min(149, node + 45), node + i % 60, max(0, node + i % 60 - 45), min(len(other) - 1, node + i % 60 + 45))], 46, 0.8)))
+        x.append((text & np.uint64(0xFFFF)).astype("<u2"))
+        y.append((other & np.uint64(0xFFFF)).astype("<u2"))
+        nodes.append(node)
+        others.append(node + i % 60)
+    kept = promising(x, y, np.arange(300), np.array(nodes), np.array(others), 46, 0.8)
+    assert 100 < sum(found) < 300 and kept[np.array(found)].all()
+    # Pieces of 24 tokens that stand together in one text only, and 30 tokens between others.
+    piece = np.arange(1, 49, dtype="<u2")
+    apart = np.r_[piece[:24], np.arange(1000, 1100, dtype="<u2"), piece[24:]].astype("<u2")
+    few = np.r_[np.arange(2000, 2100), piece[:30], np.arange(2100, 2200)].astype("<u2")
+    lone = np.r_[np.arange(3000, 3100), piece[:30], np.arange(3100, 3200)].astype("<u2")
+    assert promising([piece, few], [apart, lone], np.array([0, 1]), np.array([10, 110]), np.array([10, 110]), 46, 0.8).tolist() == [False, False]
+
+
+def test_large_buckets_take_few_turns(spark, monkeypatch):
+    """Sixteen families of two share 45 words, so every bucket of these is large; all families are found within four turns of pivots."""
+    from sceneloom.llm import substring_dedup
+
+    rng, keep, turns = random.Random(25), substring_dedup.staged, []
+    hot, families = words(rng, 45), []
+    for _ in range(16):
+        text = words(rng, 36) + hot + words(rng, 36)
+        edited = list(text)
+        edited[33], edited[83] = "here", "there"
+        families.append((" ".join(text), " ".join(edited)))
+    monkeypatch.setattr(substring_dedup, "SMALL", 1)
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name, *more: turns.append(name) or keep(df, name, *more))
+    rows = repeated_passages(table(spark, [x for x, _ in families] + [y for _, y in families])).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in rows} == {frozenset((i, i + 16)) for i in range(16)}
+    assert turns.count("passages-pivots") <= 4
